@@ -92,4 +92,6 @@ def nan_to_num(c: Column | str) -> Column:
 
 
 def round_half_even(c: Column | str, places: int) -> Column:
-    return F.bround(as_col(c), places)
+    """Round halves to even, scaling the binary value first as numeric libraries do."""
+    scale = F.lit(float(10**places))
+    return F.rint(as_col(c).cast("double") * scale) / scale

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.expr import round_half_even
 from loomline.operators.join import as_list
 from loomline.operators.ranks import running_totals
 
@@ -97,7 +98,7 @@ def score_label(
 ) -> DataFrame:
     """Round the score, label it 1 above the threshold and phrase the outcome."""
     threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    rounded = F.bround(F.col(score).cast("double"), places)
+    rounded = round_half_even(score, places)
     label = F.when(rounded > threshold, 1).otherwise(0)
     verdict = F.when(rounded > threshold, F.lit("is")).otherwise(F.lit("is not"))
     # Fixed value: the wording the scoring service answers with.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.expr import round_half_even
 from loomline.operators.join import as_list
 from loomline.operators.ranks import percentiles
 from loomline.operators.rollup import known_keys, roll
@@ -74,12 +75,12 @@ def flag_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = df.agg(rows.alias("_n"), *[F.count_if(F.col(c) == 0).alias(c) for c in columns])
     lines = []
     for c in columns:
-        zero = F.bround(F.try_divide(F.col(c) * 100.0, F.col("_n")), 2)
+        zero = round_half_even(F.try_divide(F.col(c) * 100.0, F.col("_n")), 2)
         lines.append(
             F.struct(
                 F.lit(c).alias("column_name"),
                 zero.alias("percent_0"),
-                F.bround(F.lit(100.0) - zero, 2).alias("percent_1"),
+                round_half_even(F.lit(100.0) - zero, 2).alias("percent_1"),
             )
         )
     return counts.select(F.inline(F.array(*lines)))
@@ -105,24 +106,17 @@ def percentile_grid(
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, quartiles exact."""
-    out = None
-    for c in columns:
-        one = describe_column(df, c)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def describe_column(df: DataFrame, column: str) -> DataFrame:
-    named = df.select(F.lit(column).alias("column_name"), F.col(column).cast("double").alias("_x"))
-    moments = named.groupBy("column_name").agg(
+    """count, mean, std, min, exact quartiles and max per column, all columns in the same passes."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in columns])
+    long = df.select(F.inline(cells))
+    moments = long.groupBy("column_name").agg(
         F.count("_x").alias("n"),
         F.avg("_x").alias("mean"),
         F.stddev_samp("_x").alias("std"),
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
     )
-    quartiles = quartile_columns(percentiles(named, "_x", [0.25, 0.5, 0.75], "column_name"), ["column_name"])
+    quartiles = quartile_columns(percentiles(long, "_x", [0.25, 0.5, 0.75], "column_name"), ["column_name"])
     return moments.join(quartiles, "column_name", "left")
 
 
@@ -203,19 +197,17 @@ def box_summary(df: DataFrame, column: str, by: str | Sequence[str]) -> DataFram
     """Quartiles, whiskers at 1.5 interquartile ranges and outlier count per group."""
     by = as_list(by)
     known = known_keys(df, by).filter(F.col(column).isNotNull())
-    # Equal values are folded before the fences are joined on.
-    counts = known.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     quartiles = quartile_columns(percentiles(known, column, [0.25, 0.5, 0.75], by), by)
-    reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
-    inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
+    x, reach = F.col(column).cast("double"), (F.col("q3") - F.col("q1")) * F.lit(1.5)
+    inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
-        counts.join(quartiles, by)
+        known.join(quartiles, by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
-            F.sum("_n").alias("n"),
-            F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.when(inside, x)).alias("whisker_low"),
+            F.max(F.when(inside, x)).alias("whisker_high"),
+            F.count_if(~inside).alias("outliers"),
         )
     )
 

@@ -1,24 +1,35 @@
 """Running totals and exact order statistics that no single task has to sort.
 
-A window ordered over a whole table (or over one hot key) is one task's work. Here
-the ordered values are cut into buckets of about equal size; bucket totals are
-small and give each bucket its starting offset, so every bucket is ranked on its
-own and the results are still exact.
+A window ordered over a whole table, or over one hot key, is one task's work. Here
+an approximate sketch first says where to look, and the exact answer is then found
+from counts plus a small part of the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.join import as_list
 from loomline.operators.rollup import known_keys
+from loomline.sources.tables import cut_lineage
 
 BUCKETS = 1024
 BUCKET = "_bucket"
 
+# The sketch places a value within 1/ACCURACY of its rank; brackets allow twice that.
+ACCURACY = 10_000
+SLACK = 2 / ACCURACY
+# Up to this many rows a group is ranked whole: the slack would be under four ranks wide.
+SMALL_GROUP = int(4 / SLACK)
+
+
+# ---------------------------------------------------------------- running totals
+
 
 def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
     """Approximate quantiles of a column over all keys, from a bounded sketch.
@@ -27,11 +38,13 @@ def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]
     the rows, however values and keys are distributed. Being literals in the plan,
     the cuts are the same for every use and every retry of a task.
     """
-    return df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    points = [i / buckets for i in range(1, buckets)]
+    return df.agg(F.percentile_approx(F.col(value).cast("double"), points, ACCURACY).alias("q")).first()["q"] or []
 
 
 def bucket_of(value: str, cuts: Sequence[float]) -> Column:
     """How many cut points lie below the value, by binary search."""
+    cuts = sorted(set(cuts))
     if not cuts:
         return F.lit(0)
     # Padded to 2^k - 1 cuts, so that every probe of the search is inside the array.
@@ -45,21 +58,6 @@ def bucket_of(value: str, cuts: Sequence[float]) -> Column:
     )
 
 
-def bucket_offsets(bucketed: DataFrame, by: Sequence[str], amounts: Sequence[str], descending: bool = False) -> DataFrame:
-    """(by, bucket, ``{a}_before``, ``{a}_here``, ``{a}_all``): at most ``buckets`` rows per key."""
-    order = F.desc(BUCKET) if descending else F.asc(BUCKET)
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(a).alias(f"{a}_here") for a in amounts])
-    return totals.select(
-        *by,
-        BUCKET,
-        *[f"{a}_here" for a in amounts],
-        *[F.coalesce(F.sum(f"{a}_here").over(before), F.lit(0)).alias(f"{a}_before") for a in amounts],
-        *[F.sum(f"{a}_here").over(whole).alias(f"{a}_all") for a in amounts],
-    )
-
-
 def running_totals(
     counts: DataFrame,
     order: str,
@@ -70,80 +68,108 @@ def running_totals(
 ) -> DataFrame:
     """Add ``{a}_running`` (up to and with the row) and ``{a}_all`` for each amount.
 
-    ``counts`` has one row per (by, order) value: aggregate ties before calling.
+    ``counts`` has one row per (by, order) value: aggregate ties before calling. Values
+    are cut into buckets of about equal size; bucket totals are small and give each
+    bucket its starting offset, so the buckets are then summed independently.
     """
     by = as_list(by)
-    bucketed = counts.withColumn(BUCKET, bucket_of(order, cut_points(counts, order, buckets)))
-    offsets = bucket_offsets(bucketed, by, amounts, descending).drop(*[f"{a}_here" for a in amounts])
+    # One shuffle on (by, bucket) serves the totals, the join and the window.
+    bucketed = counts.withColumn(BUCKET, bucket_of(order, cut_points(counts, order, buckets))).repartition(*by, BUCKET)
+    # At most ``buckets`` rows per key reach the two windows over the totals.
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(F.desc(BUCKET) if descending else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(a).alias(f"{a}_here") for a in amounts])
+    offsets = totals.select(
+        *by,
+        BUCKET,
+        *[F.coalesce(F.sum(f"{a}_here").over(before), F.lit(0)).alias(f"{a}_before") for a in amounts],
+        *[F.sum(f"{a}_here").over(whole).alias(f"{a}_all") for a in amounts],
+    )
     within = (
         Window.partitionBy(*by, BUCKET)
         .orderBy(F.desc(order) if descending else F.asc(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = bucketed.join(offsets, [*by, BUCKET])
-    return joined.select(
+    return bucketed.join(offsets, [*by, BUCKET]).select(
         *counts.columns,
         *[(F.col(f"{a}_before") + F.sum(a).over(within)).alias(f"{a}_running") for a in amounts],
         *[f"{a}_all" for a in amounts],
     )
 
 
-def percentiles(
-    df: DataFrame,
-    value: str,
-    points: Sequence[float],
-    by: str | Sequence[str] = (),
-    buckets: int = BUCKETS,
-) -> DataFrame:
+# ---------------------------------------------------------------- percentiles
+
+
+def percentiles(df: DataFrame, value: str, points: Sequence[float], by: str | Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated percentiles (points in 0..1), one row per key and point.
 
-    Columns: by, ``point``, ``value``. NULL values and NULL keys are left out. Equal
-    values are counted first; then only the buckets that hold a wanted rank are sorted.
+    Columns: by, ``point``, ``value``. NULL values and NULL keys are left out.
+
+    A sketch of each group says how large it is and, for every point, between which
+    values its two ranks must lie. Small groups are then ranked whole; of the others
+    only the rows inside a bracket are shuffled and sorted. The sketch is fixed before
+    it is used, so all passes agree whatever order it was merged in.
     """
     by = as_list(by)
-    known = known_keys(df, by).filter(F.col(value).isNotNull())
-    known = known.select(*by, F.col(value).cast("double").alias("_v"))
-    counts = known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    bucketed = counts.withColumn(BUCKET, bucket_of("_v", cut_points(known, "_v", buckets)))
-
-    position = [F.lit(float(p)) * (F.col("_n_all") - 1) for p in points]
-    ranks = F.array_distinct(
-        F.array(*[f(p).cast("long") for p in position for f in (F.floor, F.ceil)])
+    known = known_keys(df, by).filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    asks = [x for p in points for x in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
+    sketch = known.groupBy(*by).agg(
+        F.percentile_approx("_v", asks, ACCURACY).alias("_q"), F.count(F.lit(1)).alias("_n_all")
     )
-    first, past = F.col("_n_before"), F.col("_n_before") + F.col("_n_here")
-    wanted = (
-        bucket_offsets(bucketed, by, ["_n"])
-        .withColumn("_ranks", F.filter(ranks, lambda r: (r >= first) & (r < past)))
-        .filter(F.size("_ranks") > 0)
-        .select(*by, BUCKET, "_n_before", "_n_all", "_ranks")
-    )
-    within = Window.partitionBy(*by, BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bucketed.join(wanted, [*by, BUCKET]).withColumn("_end", F.col("_n_before") + F.sum("_n").over(within))
-    hits = ranked.select(
-        *by,
-        "_n_all",
-        "_v",
-        F.explode(
-            F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
-        ).alias("_rank"),
-    )
-    # At most two ranks per point, so the collected map is bounded by the request.
-    maps = hits.groupBy(*by).agg(
-        F.max("_n_all").alias("_n_all"),
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
-    )
-    lines = []
-    for p, pos in zip(points, position):
-        low = F.try_element_at("_at", F.floor(pos).cast("long"))
-        high = F.try_element_at("_at", F.ceil(pos).cast("long"))
-        lines.append(
-            F.struct(
-                F.lit(float(p)).alias("point"),
-                (low + (high - low) * (pos - F.floor(pos))).alias("value"),
-            )
+    if by:
+        sketch = cut_lineage(sketch)
+        sizes = sketch.agg(F.min("_n_all").alias("least"), F.max("_n_all").alias("most")).first()
+        least, most = sizes["least"] or 0, sizes["most"] or 0
+        attach = lambda keep: known.join(sketch.filter(keep), by)
+    else:
+        only = sketch.first()
+        least = most = only["_n_all"]
+        attach = lambda keep: known.withColumns(
+            {"_q": F.lit(only["_q"]).cast("array<double>"), "_n_all": F.lit(only["_n_all"])}
         )
-    # An ungrouped aggregate of no rows still yields a row: it has no percentiles.
-    return maps.filter(F.col("_n_all").isNotNull()).select(*by, F.inline(F.array(*lines)))
+    is_small = F.col("_n_all") <= SMALL_GROUP
+    parts = []
+    if least <= SMALL_GROUP:
+        parts.append(_small_groups(attach(is_small), points, by))
+    if most > SMALL_GROUP:
+        parts.append(_bracketed(attach(~is_small), points, by))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _small_groups(rows: DataFrame, points: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """At most ``SMALL_GROUP`` rows per group, so the aggregate's buffer is bounded."""
+    points = [float(p) for p in points]
+    values = rows.groupBy(*by).agg(F.percentile("_v", F.lit(points)).alias("_values")).filter("_values IS NOT NULL")
+    return values.select(*by, F.inline(F.arrays_zip(F.lit(points), "_values"))).toDF(*by, "point", "value")
+
+
+def _bracketed(rows: DataFrame, points: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Count the rows below every bracket and rank the few inside."""
+    n = range(len(points))
+    # Written out in place: dozens of aliases would swamp the optimiser's constraint inference.
+    low = [F.get("_q", F.lit(2 * i)) if p > SLACK else F.lit(float("-inf")) for i, p in enumerate(points)]
+    high = [F.get("_q", F.lit(2 * i + 1)) if p < 1 - SLACK else F.lit(float("inf")) for i, p in enumerate(points)]
+    below = rows.groupBy(*by).agg(F.array(*[F.count_if(F.col("_v") < low[i]) for i in n]).alias("_below"))
+    inside = [F.col("_v").between(low[i], high[i]) for i in n]
+    marks = F.array_compact(F.array(*[F.when(inside[i], F.lit(i)) for i in n]))
+    # A sum and not an OR: the optimiser would expand a long OR of ranges into clauses.
+    hits = reduce(add, [F.when(i, 1).otherwise(0) for i in inside])
+    kept = rows.filter(hits > 0).select(*by, "_n_all", "_v", F.explode(marks).alias("_i"))
+    counts = kept.groupBy(*by, "_n_all", "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(within))
+    ranked = ranked.join(below, by) if by else ranked.withColumn("_below", below.scalar())
+
+    end = F.get("_below", F.col("_i")) + F.col("_upto")
+    point = F.get(F.lit([float(p) for p in points]), F.col("_i"))
+    position = point * (F.col("_n_all") - 1)
+    holds = lambda rank: (rank >= end - F.col("_n")) & (rank < end)
+    found = ranked.groupBy(*by, "_n_all", "_i").agg(
+        F.max(F.when(holds(F.floor(position)), F.col("_v"))).alias("_low"),
+        F.max(F.when(holds(F.ceil(position)), F.col("_v"))).alias("_high"),
+    )
+    step = F.col("_high") - F.col("_low")
+    return found.select(*by, point.alias("point"), (F.col("_low") + step * (position - F.floor(position))).alias("value"))
 
 
 def group_median(df: DataFrame, by: str | Sequence[str], value: str, alias: str) -> DataFrame:

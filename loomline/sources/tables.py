@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,18 @@ def materialise(df: DataFrame, path: str, mode: str = "ignore") -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session (``spark.checkpoint.dir``)."""
+    """A reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local folder is used only when Spark itself runs on this machine and the
+    setting is absent.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="loomline-checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
