@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.columns import string_columns, unique_names
@@ -38,13 +38,21 @@ def flag_names(vocabulary: Vocabulary, null_flag: bool = False) -> list[str]:
     )
 
 
-def flag_conditions(vocabulary: Vocabulary, null_flag: bool = False) -> dict[str, Column]:
-    """{flag name: boolean condition}: flags can be aggregated without being materialised."""
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def flag_conditions(vocabulary: Vocabulary, null_flag: bool = False) -> dict[str, str]:
+    """{flag name: SQL condition}: flags can be aggregated without being materialised."""
     conditions = []
     for c, values in vocabulary.items():
-        conditions += [F.col(c) == v for v in values]
+        conditions += [f"{quote(c)} = {literal(v)}" for v in values]
         if null_flag:
-            conditions.append(F.col(c).isNull())
+            conditions.append(f"{quote(c)} IS NULL")
     return dict(zip(flag_names(vocabulary, null_flag), conditions))
 
 
@@ -56,8 +64,6 @@ def one_hot(
     """Replace category columns by 0/1 flags; returns the frame and the new names."""
     vocabulary = fit_vocabulary(df) if vocabulary is None else vocabulary
     flags = flag_conditions(vocabulary, null_flag)
-    kept = [c for c in df.columns if c not in vocabulary]
-    return (
-        df.select(*kept, *[F.when(cond, 1).otherwise(0).alias(name) for name, cond in flags.items()]),
-        list(flags),
-    )
+    kept = [quote(c) for c in df.columns if c not in vocabulary]
+    coded = [f"CASE WHEN {cond} THEN 1 ELSE 0 END AS {quote(name)}" for name, cond in flags.items()]
+    return df.selectExpr(*kept, *coded), list(flags)

@@ -8,13 +8,13 @@ the shuffle, and the second shuffle carries at most one row per key and window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.join import as_list
-from loomline.operators.rollup import known_keys
+from loomline.operators.rollup import Exprs, known_keys, named
 
 # {suffix: how far back, or None for the whole history}
 Windows = Mapping[str, int | None]
@@ -51,20 +51,26 @@ def spread_windows(long: DataFrame, keys: str | Sequence[str], windows: Windows)
     """(keys, window, values) -> one row per key with ``value{suffix}`` columns."""
     keys = as_list(keys)
     values = [c for c in long.columns if c not in keys and c != TAG]
+    # At most one row per window reaches the list.
     packed = long.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(TAG), F.struct(*values)))).alias("_by_window")
     )
-    slots = packed.select(
-        *keys, *[F.try_element_at("_by_window", F.lit(i)).alias(f"_w{i}") for i in range(len(windows))]
-    )
-    return slots.select(
-        *keys,
-        *[
-            F.col(f"_w{i}").getField(v).alias(v + suffix)
-            for i, (suffix, _) in enumerate(nested(windows))
-            for v in values
-        ],
-    )
+    slots = [f"_w{i}" for i in range(len(windows))]
+    unpacked = packed.select(*keys, *[F.try_element_at("_by_window", F.lit(i)).alias(s) for i, s in enumerate(slots)])
+    names = [v + suffix for suffix, _ in nested(windows) for v in values]
+    return unpacked.select(*keys, *[f"{s}.*" for s in slots]).toDF(*keys, *names)
+
+
+def wanted_windows(windows: Windows, names: Collection[str], columns: Collection[str] | None) -> Windows:
+    """The windows from which any output is wanted."""
+    if columns is None:
+        return windows
+    return {s: back for s, back in windows.items() if any(n + s in columns for n in names)}
+
+
+def wanted_exprs(windows: Windows, exprs: Exprs, columns: Collection[str] | None) -> Exprs:
+    """The aggregates wanted in any window."""
+    return exprs if columns is None else {n: e for n, e in exprs.items() if any(n + s in columns for s in windows)}
 
 
 def lookback(
@@ -72,12 +78,17 @@ def lookback(
     keys: str | Sequence[str],
     offset: str | Column,
     windows: Windows,
-    exprs: Sequence[Column],
+    exprs: Exprs,
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
-    """Run one rollup over every window and lay the results side by side."""
-    keys = as_list(keys)
-    tagged = tag_windows(known_keys(df, keys), offset, windows)
-    return spread_windows(tagged.groupBy(*keys, TAG).agg(*exprs), keys, windows)
+    """Run one rollup over every window and lay the results side by side.
+
+    ``columns`` names the outputs wanted: aggregates and windows that none of them
+    needs are not computed. Keys outside every wanted window have no row.
+    """
+    return lookback_with(
+        df, keys, offset, windows, exprs, lambda tagged, by, some: tagged.groupBy(*by).agg(*named(some)), columns
+    )
 
 
 def lookback_with(
@@ -85,9 +96,16 @@ def lookback_with(
     keys: str | Sequence[str],
     offset: str | Column,
     windows: Windows,
-    rollup: Callable[[DataFrame, list[str]], DataFrame],
+    exprs: Exprs,
+    rollup: Callable[[DataFrame, list[str], Exprs], DataFrame],
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
-    """Like :func:`lookback` for rollups of more than one step: ``rollup(tagged, keys + tag)``."""
+    """Like :func:`lookback` for rollups of more than one step: ``rollup(tagged, keys + tag, exprs)``."""
     keys = as_list(keys)
+    exprs = wanted_exprs(windows, exprs, columns)
+    windows = wanted_windows(windows, exprs, columns)
+    if not windows:
+        return known_keys(df, keys).select(*keys).distinct()
     tagged = tag_windows(known_keys(df, keys), offset, windows)
-    return spread_windows(rollup(tagged, [*keys, TAG]), keys, windows)
+    out = spread_windows(rollup(tagged, [*keys, TAG], exprs), keys, windows)
+    return out if columns is None else out.select(*keys, *[c for c in out.columns if c in columns])

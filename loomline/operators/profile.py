@@ -15,7 +15,7 @@ from loomline.operators.rollup import known_keys, roll
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n), most frequent first; NULL is not counted."""
-    counts = roll(df, column, [F.count(F.lit(1)).alias("n")])
+    counts = roll(df, column, {"n": "count(1)"})
     return counts.orderBy(F.desc("n"), F.asc(column))
 
 
@@ -29,11 +29,7 @@ def default_profile(df: DataFrame, column: str, label: str, top: int | None = No
     out = roll(
         df,
         column,
-        [
-            F.count_if(F.col(label) == 1).alias("positives"),
-            F.count(label).alias("total"),
-            F.avg(label).alias("share"),
-        ],
+        {"positives": F.count_if(F.col(label) == 1), "total": F.count(label), "share": F.avg(label)},
     )
     return top_k(out, "total", top, column)
 
@@ -64,7 +60,7 @@ def argmax(df: DataFrame, item: str, score: str) -> DataFrame:
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Rows and percent of the total per class."""
-    counts = roll(df, label, [F.count(F.lit(1)).alias("n")])
+    counts = roll(df, label, {"n": "count(1)"})
     # One row per class reaches this window.
     return counts.withColumn("percent", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(label)
 
@@ -221,12 +217,12 @@ def token_counts(df: DataFrame, column: str, separator: str = ",") -> DataFrame:
 
 def key_duplicates(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
-    return roll(df, keys, [F.count(F.lit(1)).alias("n")]).filter(F.col("n") > 1)
+    return roll(df, keys, {"n": "count(1)"}).filter(F.col("n") > 1)
 
 
 def pair_corr(df: DataFrame, x: str, y: str, by: str | Sequence[str]) -> DataFrame:
     """Correlation of two measures per label: what a scatter plot shows, over all rows."""
-    return roll(df, by, [F.corr(x, y).alias("corr"), F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n")])
+    return roll(df, by, {"corr": F.corr(x, y), "n": F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())})
 
 
 def pair_points(df: DataFrame, x: str, y: str, label: str, fractions: dict[object, float], seed: int = 0) -> DataFrame:

@@ -1,77 +1,91 @@
-"""Rollups driven by a column -> aggregates specification."""
+"""Rollups driven by a column -> aggregates specification.
+
+A specification turns into ``{output name: SQL aggregate}``. Wide rollups have hundreds
+of these, so they are SQL text: Spark parses each in one call, and a caller that needs
+only some outputs drops the others before anything is planned.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.encode import Vocabulary, flag_conditions
+from loomline.operators.encode import Vocabulary, flag_conditions, literal, quote
 from loomline.operators.join import as_list, join_suffix
 
 Spec = Mapping[str, Sequence[str]]
+Exprs = dict[str, str | Column]
+
+ROWS = "count(1)"
 
 
-def aggregate(column: str, how: str, where: Column | None = None) -> Column:
+def aggregate(column: str, how: str, where: str | None = None) -> str:
     """One aggregate of one column, optionally over the rows where a condition holds.
 
     Sums of nothing but NULL are 0, as long as the group has any row.
     """
-    value = F.col(column) if where is None else F.when(where, F.col(column))
-    rows = F.count(F.lit(1)) if where is None else F.count_if(where)
-    if how == "min":
-        return F.min(value)
-    if how == "max":
-        return F.max(value)
+    value = quote(column) if where is None else f"CASE WHEN {where} THEN {quote(column)} END"
+    rows = ROWS if where is None else f"count_if({where})"
+    if how in ("min", "max"):
+        return f"{how}({value})"
     if how == "mean":
-        return F.avg(value)
+        return f"avg({value})"
     if how == "var":
-        return F.var_samp(value)
-    if how == "count":
-        return F.count(value) if where is None else F.when(rows > 0, F.count(value))
-    if how == "nunique":
-        return F.count_distinct(value) if where is None else F.when(rows > 0, F.count_distinct(value))
-    if how == "sum":
-        total = F.coalesce(F.sum(value), F.lit(0))
-        return total if where is None else F.when(rows > 0, total)
-    if how == "size":
-        return rows if where is None else F.when(rows > 0, rows)
-    raise ValueError(f"unknown aggregate {how!r}")
-
-
-def spec_exprs(spec: Spec, prefix: str = "", upper: bool = True, where: Column | None = None) -> list[Column]:
-    """Aggregate expressions named ``{prefix}{column}_{AGG}``."""
-    return [
-        aggregate(column, how, where).alias(f"{prefix}{column}_{how.upper() if upper else how}")
+        return f"var_samp({value})"
+    counted = {
+        "count": f"count({value})",
+        "nunique": f"count(DISTINCT {value})",
+        "sum": f"coalesce(sum({value}), 0)",
+        "size": rows,
+    }
+    if how not in counted:
+        raise ValueError(f"unknown aggregate {how!r}")
+    return counted[how] if where is None else f"CASE WHEN {rows} > 0 THEN {counted[how]} END"
+
+
+def spec_exprs(spec: Spec, prefix: str = "", upper: bool = True, where: str | None = None) -> Exprs:
+    """Aggregates named ``{prefix}{column}_{AGG}``."""
+    return {
+        f"{prefix}{column}_{how.upper() if upper else how}": aggregate(column, how, where)
         for column, hows in spec.items()
         for how in hows
-    ]
+    }
 
 
 def share_exprs(
     vocabulary: Vocabulary, prefix: str = "", null_flag: bool = True, hows: Sequence[str] = ("mean",), upper: bool = True
-) -> list[Column]:
+) -> Exprs:
     """Aggregates of one-hot flags without creating the flags.
 
     The mean is a count over a count, so each flag costs one long in the buffer.
     """
-    rows = F.count(F.lit(1))
-    out = []
-    for name, cond in flag_conditions(vocabulary, null_flag).items():
-        hit = F.coalesce(cond, F.lit(False))
+    out = {}
+    for name, hit in flag_conditions(vocabulary, null_flag).items():
+        flag = f"CASE WHEN {hit} THEN 1 ELSE 0 END"
         build = {
-            "mean": lambda: F.count_if(hit) / rows,
-            "max": lambda: F.max(hit.cast("int")),
-            "min": lambda: F.min(hit.cast("int")),
-            "sum": lambda: F.count_if(hit),
-            "var": lambda: F.var_samp(hit.cast("int")),
-            "size": lambda: rows,
+            "mean": f"count_if({hit}) / {ROWS}",
+            "max": f"max({flag})",
+            "min": f"min({flag})",
+            "sum": f"count_if({hit})",
+            "var": f"var_samp({flag})",
+            "size": ROWS,
         }
-        out += [build[how]().alias(f"{prefix}{name}_{how.upper() if upper else how}") for how in hows]
+        for how in hows:
+            out[f"{prefix}{name}_{how.upper() if upper else how}"] = build[how]
     return out
 
 
+def named(exprs: Exprs) -> list[Column]:
+    return [F.expr(f"{e} AS {quote(n)}") if isinstance(e, str) else e.alias(n) for n, e in exprs.items()]
+
+
+def only(exprs: Exprs, columns: Collection[str] | None) -> Exprs:
+    """The wanted outputs; all of them by default."""
+    return exprs if columns is None else {n: e for n, e in exprs.items() if n in columns}
+
+
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with a NULL key belong to no group."""
     for k in keys:
@@ -79,9 +93,11 @@ def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def roll(df: DataFrame, keys: str | Sequence[str], exprs: Iterable[Column]) -> DataFrame:
+def roll(df: DataFrame, keys: str | Sequence[str], exprs: Exprs) -> DataFrame:
+    """One group-by (one shuffle, map-side combined) over the rows whose key is known."""
     keys = as_list(keys)
-    return known_keys(df, keys).groupBy(*keys).agg(*exprs)
+    known = known_keys(df, keys)
+    return known.groupBy(*keys).agg(*named(exprs)) if exprs else known.select(*keys).distinct()
 
 
 def agg_spec(
@@ -90,9 +106,9 @@ def agg_spec(
     spec: Spec,
     prefix: str = "",
     upper: bool = True,
-    where: Column | None = None,
+    where: str | None = None,
 ) -> DataFrame:
-    """One group-by computing the whole specification (one shuffle, map-side combined)."""
+    """The whole specification in one group-by."""
     return roll(df, keys, spec_exprs(spec, prefix, upper, where))
 
 
@@ -106,9 +122,12 @@ def agg_all(
     return agg_spec(df, keys, {c: hows for c in columns}, prefix)
 
 
-def segment_exprs(segment: str, values: Mapping[str, str], spec: Spec, upper: bool = True) -> list[Column]:
+def segment_exprs(segment: str, values: Mapping[str, str], spec: Spec, upper: bool = True) -> Exprs:
     """The same specification once per segment value: ``{value: prefix}``."""
-    return [e for value, prefix in values.items() for e in spec_exprs(spec, prefix, upper, F.col(segment) == value)]
+    out = {}
+    for value, prefix in values.items():
+        out |= spec_exprs(spec, prefix, upper, f"{quote(segment)} = {literal(value)}")
+    return out
 
 
 def segment_rollup(
@@ -121,7 +140,7 @@ def segment_rollup(
     upper: bool = True,
 ) -> DataFrame:
     """All rows plus each segment in a single group-by; a key without the segment gets NULL."""
-    return roll(df, keys, spec_exprs(spec, prefix, upper) + segment_exprs(segment, values, spec, upper))
+    return roll(df, keys, spec_exprs(spec, prefix, upper) | segment_exprs(segment, values, spec, upper))
 
 
 def two_level_rollup(
@@ -129,22 +148,22 @@ def two_level_rollup(
     parent: DataFrame,
     child_key: str | Sequence[str],
     parent_key: str | Sequence[str],
-    child_exprs: Iterable[Column],
-    parent_exprs: Iterable[Column],
+    child_exprs: Exprs,
+    parent_exprs: Exprs,
 ) -> DataFrame:
     """Child rows -> one row per ``child_key`` -> left-joined to parent -> one row per ``parent_key``."""
     inner = roll(child, child_key, child_exprs)
     return roll(join_suffix(parent, inner, child_key), parent_key, parent_exprs)
 
 
-def first_last_exprs(order: Sequence[str], columns: Mapping[str, Sequence[str]]) -> list[Column]:
+def first_last_exprs(order: Sequence[str], columns: Mapping[str, Sequence[str]]) -> Exprs:
     """First / last non-null value in order. Ties go to the smaller / larger value,
     so the result does not depend on how rows were partitioned."""
-    out = []
+    out = {}
     for c, ends in columns.items():
         known = F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_v")))
-        pick = {"first": F.min, "last": F.max}
-        out += [pick[end](known).getField("_v").alias(f"{c}_{end.upper()}") for end in ends]
+        for end in ends:
+            out[f"{c}_{end.upper()}"] = {"first": F.min, "last": F.max}[end](known).getField("_v")
     return out
 
 
@@ -165,7 +184,7 @@ def attach_stats(df: DataFrame, keys: str | Sequence[str], stats: Mapping[str, t
     has one right-hand row per key, which AQE can split or broadcast.
     """
     keys = as_list(keys)
-    per_key = roll(df, keys, [aggregate(c, how).alias(alias) for alias, (c, how) in stats.items()])
+    per_key = roll(df, keys, {alias: aggregate(c, how) for alias, (c, how) in stats.items()})
     return df.join(per_key, keys, "left")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
 from loomline.operators.join import join_suffix
-from loomline.operators.rollup import attach_stats, roll, segment_exprs, share_exprs, spec_exprs
+from loomline.operators.rollup import attach_stats, only, roll, segment_exprs, share_exprs, spec_exprs
 
 ID, CREDIT = "SK_ID_CURR", "SK_ID_BUREAU"
 NULL_IS_ZERO = ["AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_ANNUITY"]
@@ -76,6 +76,7 @@ def bureau_rollup(
     bureau_vocabulary: encode.Vocabulary | None = None,
     balance_vocabulary: encode.Vocabulary | None = None,
     segments: Sequence[str] = ("Closed",),
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     """Months per credit, then credits per applicant, overall and per credit status."""
     bureau_vocabulary = encode.fit_vocabulary(bureau) if bureau_vocabulary is None else bureau_vocabulary
@@ -83,16 +84,15 @@ def bureau_rollup(
     per_credit = roll(
         balance,
         CREDIT,
-        spec_exprs({"MONTHS_BALANCE": BALANCE_AGGS}) + share_exprs(balance_vocabulary, hows=BALANCE_AGGS),
+        spec_exprs({"MONTHS_BALANCE": BALANCE_AGGS}) | share_exprs(balance_vocabulary, hows=BALANCE_AGGS),
     )
     credits = join_suffix(clean.fill(bureau, {c: 0 for c in NULL_IS_ZERO}), per_credit, CREDIT)
     flags = encode.flag_names(balance_vocabulary, null_flag=True)
     balance_spec = {f"{flag}_{how.upper()}": [how] for flag in flags for how in ("mean", "min", "max")}
-    return roll(
-        credits,
-        ID,
+    exprs = (
         spec_exprs(CREDIT_SPEC, "BUREAU_", upper=False)
-        + share_exprs(bureau_vocabulary, "BUREAU_", hows=["max"], upper=False)
-        + spec_exprs(balance_spec, "BUREAU_", upper=False)
-        + segment_exprs("CREDIT_ACTIVE", {s: SEGMENT_PREFIX[s] for s in segments}, CREDIT_SPEC),
+        | share_exprs(bureau_vocabulary, "BUREAU_", hows=["max"], upper=False)
+        | spec_exprs(balance_spec, "BUREAU_", upper=False)
+        | segment_exprs("CREDIT_ACTIVE", {s: SEGMENT_PREFIX[s] for s in segments}, CREDIT_SPEC)
     )
+    return roll(credits, ID, only(exprs, columns))

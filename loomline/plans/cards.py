@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame
 
 from loomline.functions import expr as X
 from loomline.operators import encode
 from loomline.operators.columns import numeric_columns
 from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback
-from loomline.operators.rollup import roll, share_exprs, spec_exprs
+from loomline.operators.rollup import ROWS, Exprs, roll, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
 CARD_AGGS = ["max", "mean", "sum", "var"]
@@ -27,13 +28,13 @@ def card_features(df: DataFrame) -> DataFrame:
     ).drop(LOAN)
 
 
-def card_exprs(features: DataFrame, vocabulary: encode.Vocabulary) -> list[Column]:
+def card_exprs(features: DataFrame, vocabulary: encode.Vocabulary) -> Exprs:
     measures = numeric_columns(features, exclude=[ID])
-    return [
-        *spec_exprs({c: CARD_AGGS for c in measures}, "CR_"),
-        *share_exprs(vocabulary, "CR_", hows=CARD_AGGS),
-        F.count(F.lit(1)).alias("CREDIT_COUNT"),
-    ]
+    return (
+        spec_exprs({c: CARD_AGGS for c in measures}, "CR_")
+        | share_exprs(vocabulary, "CR_", hows=CARD_AGGS)
+        | {"CREDIT_COUNT": ROWS}
+    )
 
 
 def card_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
@@ -43,8 +44,11 @@ def card_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> D
 
 
 def card_lookback(
-    df: DataFrame, vocabulary: encode.Vocabulary | None = None, windows: Windows = MONTH_WINDOWS
+    df: DataFrame,
+    vocabulary: encode.Vocabulary | None = None,
+    windows: Windows = MONTH_WINDOWS,
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
     features = card_features(df)
-    return lookback(features, ID, MONTH, windows, card_exprs(features, vocabulary))
+    return lookback(features, ID, MONTH, windows, card_exprs(features, vocabulary), columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
-from loomline.operators.lookback import DAY_WINDOWS, TAG, Windows, depth, spread_windows, tag_windows
-from loomline.operators.rollup import attach_stat, known_keys, roll, share_exprs, spec_exprs
+from loomline.operators.lookback import DAY_WINDOWS, TAG, Windows, depth, lookback_with, wanted_exprs, wanted_windows
+from loomline.operators.rollup import ROWS, Exprs, attach_stat, known_keys, named, roll, share_exprs, spec_exprs
 
 ID = "SK_ID_CURR"
 INSTALMENT = ["SK_ID_PREV", "NUM_INSTALMENT_NUMBER"]
@@ -64,12 +66,10 @@ def instalment_features(df: DataFrame) -> DataFrame:
     return _payment_columns(attach_stat(df, INSTALMENT, "AMT_PAYMENT", "sum", "AMT_PAYMENT_GROUPED"))
 
 
-def instalment_exprs(vocabulary: encode.Vocabulary) -> list[Column]:
-    return [
-        *spec_exprs(INSTALMENT_SPEC, "INS_"),
-        *share_exprs(vocabulary, "INS_"),
-        F.count(F.lit(1)).alias("INSTALLATION_COUNT"),
-    ]
+def instalment_exprs(vocabulary: encode.Vocabulary) -> Exprs:
+    return (
+        spec_exprs(INSTALMENT_SPEC, "INS_") | share_exprs(vocabulary, "INS_") | {"INSTALLATION_COUNT": ROWS}
+    )
 
 
 def instalment_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
@@ -78,7 +78,10 @@ def instalment_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None
 
 
 def instalment_lookback(
-    df: DataFrame, vocabulary: encode.Vocabulary | None = None, windows: Windows = DAY_WINDOWS
+    df: DataFrame,
+    vocabulary: encode.Vocabulary | None = None,
+    windows: Windows = DAY_WINDOWS,
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     """Part payments are added up within each window, so the sums differ by window.
 
@@ -87,9 +90,15 @@ def instalment_lookback(
     """
     df = fill_unpaid(df)
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
+    exprs = wanted_exprs(windows, instalment_exprs(vocabulary), columns)
+    windows = wanted_windows(windows, exprs, columns)
     inside = depth(OFFSET, windows)
     sums = [F.coalesce(F.sum(F.when(inside > i, F.col("AMT_PAYMENT"))), F.lit(0.0)) for i in range(len(windows))]
     paid = known_keys(df, INSTALMENT).groupBy(*INSTALMENT).agg(F.array(*sums).alias("_paid"))
-    tagged = tag_windows(known_keys(df, [ID]).join(paid, INSTALMENT, "left"), OFFSET, windows)
-    rows = _payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG))))
-    return spread_windows(rows.groupBy(ID, TAG).agg(*instalment_exprs(vocabulary)), ID, windows)
+    with_paid = df.join(paid, INSTALMENT, "left")
+
+    def rollup(tagged: DataFrame, keys: list[str], some: Exprs) -> DataFrame:
+        rows = _payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG))))
+        return rows.groupBy(*keys).agg(*named(some))
+
+    return lookback_with(with_paid, ID, OFFSET, windows, exprs, rollup, columns)

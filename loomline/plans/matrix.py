@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -19,25 +19,27 @@ from loomline.plans.previous import clean_previous, previous_lookback
 from loomline.sources.tables import materialise
 
 Tables = Mapping[str, DataFrame]
+Columns = Collection[str] | None
 
-ROLLUPS: dict[str, Callable[[Tables], DataFrame]] = {
-    "bureau": lambda t: bureau_rollup(t["bureau"], t["bureau_balance"]),
-    "previous_application": lambda t: previous_lookback(clean_previous(t["previous_application"])),
-    "pos_cash_balance": lambda t: pos_lookback(t["pos_cash_balance"]),
-    "installments_payments": lambda t: instalment_lookback(t["installments_payments"]),
-    "credit_card_balance": lambda t: card_lookback(t["credit_card_balance"]),
+ROLLUPS: dict[str, Callable[[Tables, Columns], DataFrame]] = {
+    "bureau": lambda t, c: bureau_rollup(t["bureau"], t["bureau_balance"], columns=c),
+    "previous_application": lambda t, c: previous_lookback(clean_previous(t["previous_application"]), columns=c),
+    "pos_cash_balance": lambda t, c: pos_lookback(t["pos_cash_balance"], columns=c),
+    "installments_payments": lambda t, c: instalment_lookback(t["installments_payments"], columns=c),
+    "credit_card_balance": lambda t, c: card_lookback(t["credit_card_balance"], columns=c),
 }
 
 
-def rollups(tables: Tables, folder: str | None = None) -> dict[str, DataFrame]:
+def rollups(tables: Tables, folder: str | None = None, columns: Columns = None) -> dict[str, DataFrame]:
     """Every child table rolled up once, for train and test applicants alike.
 
     With ``folder`` each rollup is written as parquet and read back, so that the wide
-    join starts from files and a lost executor does not restart the rollups.
+    join starts from files and a lost executor does not restart the rollups. With
+    ``columns`` only those outputs are computed.
     """
     out = {}
     for name, build in ROLLUPS.items():
-        out[name] = build(tables)
+        out[name] = build(tables, columns)
         if folder:
             out[name] = materialise(out[name], os.path.join(folder, name))
     return out
@@ -53,9 +55,13 @@ def applicants(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def feature_matrix(tables: Tables, folder: str | None = None) -> DataFrame:
-    """``tables`` holds 'application' (and optionally 'application_test') and the child tables."""
+def feature_matrix(tables: Tables, folder: str | None = None, columns: Columns = None) -> DataFrame:
+    """Applicants with all features, or with the selected ``columns`` only.
+
+    ``tables`` holds 'application' (and optionally 'application_test') and the child tables.
+    """
     out = applicants(tables["application"], tables.get("application_test"))
-    for rollup in rollups(tables, folder).values():
+    for rollup in rollups(tables, folder, columns).values():
         out = join_suffix(out, rollup, ID, rsuffix="_y")
-    return drop_repeated_columns(out)
+    out = drop_repeated_columns(out)
+    return out if columns is None else out.select(ID, *[c for c in columns if c != ID])

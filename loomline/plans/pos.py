@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import encode
 from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback_with
-from loomline.operators.rollup import first_last_exprs, known_keys, share_exprs, spec_exprs
+from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, known_keys, named, roll, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
 
@@ -22,6 +24,11 @@ POS_SPEC = {
 }
 
 
+LOAN_OUTPUTS = [
+    "POS_LOAN_COMPLETED_MEAN", "POS_COMPLETED_BEFORE_MEAN", "POS_REMAINING_INSTALMENTS", "POS_REMAINING_INSTALMENTS_RATIO",
+]
+
+
 def pos_features(df: DataFrame) -> DataFrame:
     return df.withColumn("LATE_PAYMENT", X.above("SK_DPD"))
 
@@ -35,7 +42,7 @@ def loan_completion(df: DataFrame, extra_keys: list[str]) -> DataFrame:
         .agg(
             F.min(F.when(F.col(ID).isNotNull(), F.struct(MONTH, ID))).getField(ID).alias(ID),
             (F.count_if(completed) / F.count(F.lit(1))).alias("POS_LOAN_COMPLETED_MEAN"),
-            *first_last_exprs([MONTH], {"CNT_INSTALMENT": ["first", "last"], "CNT_INSTALMENT_FUTURE": ["last"]}),
+            *named(first_last_exprs([MONTH], {"CNT_INSTALMENT": ["first", "last"], "CNT_INSTALMENT_FUTURE": ["last"]})),
         )
     )
     shrunk = F.col("CNT_INSTALMENT_FIRST") - F.col("CNT_INSTALMENT_LAST")
@@ -49,22 +56,31 @@ def loan_completion(df: DataFrame, extra_keys: list[str]) -> DataFrame:
     )
 
 
-def _rollup(df: DataFrame, keys: list[str], vocabulary: encode.Vocabulary) -> DataFrame:
+def pos_exprs(vocabulary: encode.Vocabulary) -> Exprs:
+    return spec_exprs(POS_SPEC, "POS_") | share_exprs(vocabulary, "POS_") | {c: "" for c in LOAN_OUTPUTS}
+
+
+def _rollup(df: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
+    """Monthly rows and loans are two rollups on the same keys."""
     known = known_keys(df, keys)
-    rows = known.groupBy(*keys).agg(*spec_exprs(POS_SPEC, "POS_"), *share_exprs(vocabulary, "POS_"))
+    of_loans = [c for c in exprs if c in LOAN_OUTPUTS]
+    rows = roll(known, keys, {n: e for n, e in exprs.items() if n not in LOAN_OUTPUTS})
+    if not of_loans:
+        return rows
     loans = loan_completion(known, [k for k in keys if k != ID])
-    measures = [c for c in loans.columns if c not in keys]
-    per_applicant = loans.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures])
-    return rows.join(per_applicant, keys, "left")
+    return rows.join(roll(loans, keys, {c: aggregate(c, "sum") for c in of_loans}), keys, "left")
 
 
 def pos_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return _rollup(pos_features(df), [ID], vocabulary)
+    return _rollup(pos_features(df), [ID], pos_exprs(vocabulary))
 
 
 def pos_lookback(
-    df: DataFrame, vocabulary: encode.Vocabulary | None = None, windows: Windows = MONTH_WINDOWS
+    df: DataFrame,
+    vocabulary: encode.Vocabulary | None = None,
+    windows: Windows = MONTH_WINDOWS,
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return lookback_with(pos_features(df), ID, MONTH, windows, lambda tagged, keys: _rollup(tagged, keys, vocabulary))
+    return lookback_with(pos_features(df), ID, MONTH, windows, pos_exprs(vocabulary), _rollup, columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
 from loomline.operators.lookback import DAY_WINDOWS, Windows, lookback
-from loomline.operators.rollup import roll, segment_exprs, share_exprs, spec_exprs
+from loomline.operators.rollup import Exprs, roll, segment_exprs, share_exprs, spec_exprs
 
 ID = "SK_ID_CURR"
 ZERO_IS_NULL = ["DAYS_FIRST_DUE", "DAYS_LAST_DUE_1ST_VERSION", "DAYS_LAST_DUE", "DAYS_TERMINATION"]
@@ -56,11 +58,11 @@ def previous_features(df: DataFrame) -> DataFrame:
     )
 
 
-def previous_exprs(vocabulary: encode.Vocabulary) -> list[Column]:
+def previous_exprs(vocabulary: encode.Vocabulary) -> Exprs:
     return (
         spec_exprs(PREVIOUS_SPEC, "PREV_")
-        + share_exprs(vocabulary, "PREV_")
-        + segment_exprs("NAME_CONTRACT_STATUS", STATUS_PREFIX, PREVIOUS_SPEC)
+        | share_exprs(vocabulary, "PREV_")
+        | segment_exprs("NAME_CONTRACT_STATUS", STATUS_PREFIX, PREVIOUS_SPEC)
     )
 
 
@@ -70,7 +72,10 @@ def previous_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None)
 
 
 def previous_lookback(
-    df: DataFrame, vocabulary: encode.Vocabulary | None = None, windows: Windows = DAY_WINDOWS
+    df: DataFrame,
+    vocabulary: encode.Vocabulary | None = None,
+    windows: Windows = DAY_WINDOWS,
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return lookback(previous_features(df), ID, "DAYS_DECISION", windows, previous_exprs(vocabulary))
+    return lookback(previous_features(df), ID, "DAYS_DECISION", windows, previous_exprs(vocabulary), columns)

@@ -154,9 +154,9 @@ COLUMNS: dict[str, dict[str, str]] = {
         "MONTHS_BALANCE": MONTH_OF_EVENT,
         "SK_DPD": "CASE WHEN value > 40 THEN 7 ELSE 0 END",
         "AMT_BALANCE": "floor(value * 3)",
-        "AMT_CREDIT_LIMIT_ACTUAL": "CASE WHEN event_type = 'error' THEN 0 ELSE 512 END",
+        "AMT_CREDIT_LIMIT_ACTUAL": "CASE WHEN event_type = 'error' THEN 0 ELSE 510 END",
         "AMT_PAYMENT_CURRENT": "CASE WHEN event_type = 'view' THEN NULL ELSE floor(value) END",
-        "AMT_INST_MIN_REGULARITY": "CASE WHEN value < 3 THEN 0 ELSE 16 END",
+        "AMT_INST_MIN_REGULARITY": "CASE WHEN value < 3 THEN 0 ELSE 17 END",
         "AMT_DRAWINGS_ATM_CURRENT": "CASE WHEN event_type = 'purchase' THEN floor(value * 2) ELSE NULL END",
         "AMT_RECIVABLE": "floor(value * 4)",
         "CNT_DRAWINGS_CURRENT": "floor(value / 9)",

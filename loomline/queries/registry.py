@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     """Round the named double columns (all of them by default), for comparison only."""
     names = set(columns or [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)])
-    return df.select(*[F.round(c, places).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round(`{c}`, {places}) AS `{c}`" if c in names else f"`{c}`" for c in df.columns])

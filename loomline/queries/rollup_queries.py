@@ -156,7 +156,7 @@ LOOKBACK_ORDERS_SQL = (
 @query("lookback_orders", LOOKBACK_ORDERS_SQL)
 def lookback_orders(spark, folder):
     """Orders per customer over seven nested windows, joined to every customer."""
-    exprs = spec_exprs(LOOKBACK_SPEC, "ORD_") + share_exprs(STATUSES, "ORD_", null_flag=False)
+    exprs = spec_exprs(LOOKBACK_SPEC, "ORD_") | share_exprs(STATUSES, "ORD_", null_flag=False)
     rolled = lookback(_orders(spark, folder), "o_custkey", "days", DAY_WINDOWS, exprs)
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return customers.join(rolled.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
@@ -184,7 +184,7 @@ def lookback_lineitem(spark, folder):
             "days": F.datediff("l_shipdate", F.lit("2001-11-05")),
         }
     )
-    exprs = spec_exprs(LINE_LOOKBACK) + share_exprs(LINE_FLAGS, null_flag=False)
+    exprs = spec_exprs(LINE_LOOKBACK) | share_exprs(LINE_FLAGS, null_flag=False)
     return lookback(df, "l_suppkey", "days", DAY_WINDOWS, exprs)
 
 
@@ -207,5 +207,5 @@ def lookback_events_days(spark, folder):
         {"cents": F.round(F.col("value") * 100), "days": F.datediff("ts", F.lit("2024-01-30"))}
     )
     kinds = {"event_type": ["click", "error", "purchase", "signup", "view"]}
-    exprs = spec_exprs({"cents": ["max", "mean", "sum", "size"]}) + share_exprs(kinds, null_flag=False)
+    exprs = spec_exprs({"cents": ["max", "mean", "sum", "size"]}) | share_exprs(kinds, null_flag=False)
     return lookback(df, "user_id", "days", EVENT_WINDOWS, exprs)
