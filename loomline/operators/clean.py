@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from loomline.functions import expr as X
 from loomline.operators.columns import numeric_columns
+from loomline.operators.encode import quote
 
 
 def _check_fill(df: DataFrame, column: str, value: object) -> None:
@@ -67,15 +68,15 @@ def null_sentinel(
         raise ValueError(f"scope must be 'column' or 'frame', not {scope!r}")
     if scope == "frame" and len(columns) != 1:
         raise ValueError("scope='frame' takes exactly one column")
-    if sentinel is None:
-        maxima = maxima_of(df, columns)
-        value = {c: maxima.getField(c) for c in columns}
-    else:
-        value = {c: F.lit(sentinel) for c in columns}
-    if scope == "frame":
-        value = {c: value[columns[0]] for c in numeric_columns(df)}
-    # A NULL maximum (an all-null column) compares to NULL and so keeps every row as it is.
-    return df.withColumns({c: F.when(F.col(c) == v, None).otherwise(F.col(c)) for c, v in value.items()})
+    changed = numeric_columns(df) if scope == "frame" else columns
+    source = {c: columns[0] if scope == "frame" else c for c in changed}
+    if sentinel is not None:
+        return df.withColumns({c: F.when(F.col(c) != sentinel, F.col(c)) for c in changed})
+    # One subquery column, read by every changed column: planned and run once.
+    held = df.withColumn("_maxima", maxima_of(df, columns))
+    # A NULL maximum (an all-null column) equals nothing, so nothing changes.
+    exprs = {c: f"CASE WHEN {quote(c)} = _maxima.{quote(source[c])} THEN NULL ELSE {quote(c)} END" for c in changed}
+    return held.selectExpr(*[f"{exprs[c]} AS {quote(c)}" if c in exprs else quote(c) for c in df.columns])
 
 
 def zero_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
