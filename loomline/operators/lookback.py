@@ -2,8 +2,8 @@
 
 Every row is tagged with the windows it falls in (all history, last year, ...),
 the rollup runs once with the tag as an extra key, and the tag is then spread to
-columns. The tagged copies never travel: map-side aggregation folds them before
-the shuffle, and the second shuffle carries at most one row per key and window.
+columns. The tagged copies never travel: rows are brought together by key first, and
+tagging, rolling up and spreading all happen there, without another shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.join import as_list
-from loomline.operators.rollup import Exprs, known_keys, named
+from loomline.operators.placement import together
+from loomline.operators.rollup import Exprs, known_keys, roll
 
 # {suffix: how far back, or None for the whole history}
 Windows = Mapping[str, int | None]
@@ -75,37 +76,30 @@ def wanted_exprs(windows: Windows, exprs: Exprs, columns: Collection[str] | None
 
 def lookback(
     df: DataFrame,
-    keys: str | Sequence[str],
+    key: str,
     offset: str | Column,
     windows: Windows,
     exprs: Exprs,
     columns: Collection[str] | None = None,
+    rollup: Callable[[DataFrame, list[str], Exprs], DataFrame] = roll,
+    prepare: Callable[[DataFrame, Windows], DataFrame] = lambda rows, windows: rows,
 ) -> DataFrame:
     """Run one rollup over every window and lay the results side by side.
 
     ``columns`` names the outputs wanted: aggregates and windows that none of them
-    needs are not computed. Keys outside every wanted window have no row.
+    needs are not computed. Keys outside every wanted window have no row. ``rollup``
+    replaces the plain group-by for rollups of more than one step, and ``prepare``
+    sees the rows of a key before they are copied per window.
     """
-    return lookback_with(
-        df, keys, offset, windows, exprs, lambda tagged, by, some: tagged.groupBy(*by).agg(*named(some)), columns
-    )
-
-
-def lookback_with(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    offset: str | Column,
-    windows: Windows,
-    exprs: Exprs,
-    rollup: Callable[[DataFrame, list[str], Exprs], DataFrame],
-    columns: Collection[str] | None = None,
-) -> DataFrame:
-    """Like :func:`lookback` for rollups of more than one step: ``rollup(tagged, keys + tag, exprs)``."""
-    keys = as_list(keys)
     exprs = wanted_exprs(windows, exprs, columns)
     windows = wanted_windows(windows, exprs, columns)
+    known = known_keys(df, [key])
     if not windows:
-        return known_keys(df, keys).select(*keys).distinct()
-    tagged = tag_windows(known_keys(df, keys), offset, windows)
-    out = spread_windows(rollup(tagged, [*keys, TAG], exprs), keys, windows)
-    return out if columns is None else out.select(*keys, *[c for c in out.columns if c in columns])
+        return known.select(key).distinct()
+
+    def fold(rows: DataFrame) -> DataFrame:
+        tagged = tag_windows(prepare(rows, windows), offset, windows)
+        return spread_windows(rollup(tagged, [key, TAG], exprs), key, windows)
+
+    out = together(known, key, fold)
+    return out if columns is None else out.select(key, *[c for c in out.columns if c in columns])

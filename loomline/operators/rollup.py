@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.encode import Vocabulary, flag_conditions, literal, quote
 from loomline.operators.join import as_list, join_suffix
+from loomline.operators.placement import together
 
 Spec = Mapping[str, Sequence[str]]
 Exprs = dict[str, str | Column]
@@ -100,6 +101,11 @@ def roll(df: DataFrame, keys: str | Sequence[str], exprs: Exprs) -> DataFrame:
     return known.groupBy(*keys).agg(*named(exprs)) if exprs else known.select(*keys).distinct()
 
 
+def roll_together(df: DataFrame, key: str, exprs: Exprs, probe: DataFrame | None = None) -> DataFrame:
+    """:func:`roll` for wide rollups: see :mod:`loomline.operators.placement`."""
+    return together(known_keys(df, [key]), key, lambda rows: roll(rows, key, exprs), probe)
+
+
 def agg_spec(
     df: DataFrame,
     keys: str | Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
 from loomline.operators.join import join_suffix
-from loomline.operators.rollup import attach_stats, only, roll, segment_exprs, share_exprs, spec_exprs
+from loomline.operators.rollup import attach_stats, only, roll_together, segment_exprs, share_exprs, spec_exprs
 
 ID, CREDIT = "SK_ID_CURR", "SK_ID_BUREAU"
 NULL_IS_ZERO = ["AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_ANNUITY"]
@@ -81,7 +81,7 @@ def bureau_rollup(
     """Months per credit, then credits per applicant, overall and per credit status."""
     bureau_vocabulary = encode.fit_vocabulary(bureau) if bureau_vocabulary is None else bureau_vocabulary
     balance_vocabulary = encode.fit_vocabulary(balance) if balance_vocabulary is None else balance_vocabulary
-    per_credit = roll(
+    per_credit = roll_together(
         balance,
         CREDIT,
         spec_exprs({"MONTHS_BALANCE": BALANCE_AGGS}) | share_exprs(balance_vocabulary, hows=BALANCE_AGGS),
@@ -95,4 +95,4 @@ def bureau_rollup(
         | spec_exprs(balance_spec, "BUREAU_", upper=False)
         | segment_exprs("CREDIT_ACTIVE", {s: SEGMENT_PREFIX[s] for s in segments}, CREDIT_SPEC)
     )
-    return roll(credits, ID, only(exprs, columns))
+    return roll_together(credits, ID, only(exprs, columns), probe=bureau)

@@ -10,7 +10,7 @@ from loomline.functions import expr as X
 from loomline.operators import encode
 from loomline.operators.columns import numeric_columns
 from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback
-from loomline.operators.rollup import ROWS, Exprs, roll, share_exprs, spec_exprs
+from loomline.operators.rollup import ROWS, Exprs, roll_together, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
 CARD_AGGS = ["max", "mean", "sum", "var"]
@@ -40,7 +40,7 @@ def card_exprs(features: DataFrame, vocabulary: encode.Vocabulary) -> Exprs:
 def card_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
     features = card_features(df)
-    return roll(features, ID, card_exprs(features, vocabulary))
+    return roll_together(features, ID, card_exprs(features, vocabulary))
 
 
 def card_lookback(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
-from loomline.operators.lookback import DAY_WINDOWS, TAG, Windows, depth, lookback_with, wanted_exprs, wanted_windows
-from loomline.operators.rollup import ROWS, Exprs, attach_stat, known_keys, named, roll, share_exprs, spec_exprs
+from loomline.operators.lookback import DAY_WINDOWS, TAG, Windows, depth, lookback
+from loomline.operators.rollup import ROWS, Exprs, attach_stat, roll, roll_together, share_exprs, spec_exprs
 
 ID = "SK_ID_CURR"
 INSTALMENT = ["SK_ID_PREV", "NUM_INSTALMENT_NUMBER"]
@@ -74,7 +74,22 @@ def instalment_exprs(vocabulary: encode.Vocabulary) -> Exprs:
 
 def instalment_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return roll(instalment_features(df), ID, instalment_exprs(vocabulary))
+    return roll_together(instalment_features(df), ID, instalment_exprs(vocabulary), probe=df)
+
+
+def _paid_by_window(rows: DataFrame, windows: Windows) -> DataFrame:
+    """Attach, as an array, the part payments of the instalment added up in each window.
+
+    The applicant's key is part of the instalment's: where rows were brought together
+    by applicant, neither the sums nor the join move them again.
+    """
+    inside, paid = depth(OFFSET, windows), F.col("AMT_PAYMENT")
+    sums = [F.coalesce(F.sum(F.when(inside > i, paid)), F.lit(0.0)) for i in range(len(windows))]
+    return rows.join(roll(rows, [ID, *INSTALMENT], {"_paid": F.array(*sums)}), [ID, *INSTALMENT], "left")
+
+
+def _rollup(tagged: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
+    return roll(_payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG)))), keys, exprs)
 
 
 def instalment_lookback(
@@ -83,22 +98,8 @@ def instalment_lookback(
     windows: Windows = DAY_WINDOWS,
     columns: Collection[str] | None = None,
 ) -> DataFrame:
-    """Part payments are added up within each window, so the sums differ by window.
-
-    One aggregate yields the sums of all windows as an array and one join attaches it,
-    before rows are copied per window: the join moves each payment once.
-    """
+    """Part payments are added up within each window, so the sums differ by window."""
     df = fill_unpaid(df)
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    exprs = wanted_exprs(windows, instalment_exprs(vocabulary), columns)
-    windows = wanted_windows(windows, exprs, columns)
-    inside = depth(OFFSET, windows)
-    sums = [F.coalesce(F.sum(F.when(inside > i, F.col("AMT_PAYMENT"))), F.lit(0.0)) for i in range(len(windows))]
-    paid = known_keys(df, INSTALMENT).groupBy(*INSTALMENT).agg(F.array(*sums).alias("_paid"))
-    with_paid = df.join(paid, INSTALMENT, "left")
-
-    def rollup(tagged: DataFrame, keys: list[str], some: Exprs) -> DataFrame:
-        rows = _payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG))))
-        return rows.groupBy(*keys).agg(*named(some))
-
-    return lookback_with(with_paid, ID, OFFSET, windows, exprs, rollup, columns)
+    exprs = instalment_exprs(vocabulary)
+    return lookback(df, ID, OFFSET, windows, exprs, columns, rollup=_rollup, prepare=_paid_by_window)

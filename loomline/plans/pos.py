@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import encode
-from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback_with
-from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, known_keys, named, roll, share_exprs, spec_exprs
+from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback
+from loomline.operators.placement import together
+from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, known_keys, roll, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
 
@@ -33,22 +34,21 @@ def pos_features(df: DataFrame) -> DataFrame:
     return df.withColumn("LATE_PAYMENT", X.above("SK_DPD"))
 
 
-def loan_completion(df: DataFrame, extra_keys: list[str]) -> DataFrame:
-    """Per loan: share of completed months, early completion, and what remains at the end."""
-    completed = F.coalesce(F.col("NAME_CONTRACT_STATUS") == "Completed", F.lit(False))
-    loans = (
-        known_keys(df, [LOAN])
-        .groupBy(LOAN, *extra_keys)
-        .agg(
-            F.min(F.when(F.col(ID).isNotNull(), F.struct(MONTH, ID))).getField(ID).alias(ID),
-            (F.count_if(completed) / F.count(F.lit(1))).alias("POS_LOAN_COMPLETED_MEAN"),
-            *named(first_last_exprs([MONTH], {"CNT_INSTALMENT": ["first", "last"], "CNT_INSTALMENT_FUTURE": ["last"]})),
-        )
+def loan_completion(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per loan: share of completed months, early completion, and what remains at the end.
+
+    A loan belongs to one applicant, so the applicant's key is part of the loan's.
+    """
+    completed = F.col("NAME_CONTRACT_STATUS") == "Completed"
+    loans = roll(
+        df,
+        [*keys, LOAN],
+        {"POS_LOAN_COMPLETED_MEAN": F.count_if(completed) / F.count(F.lit(1))}
+        | first_last_exprs([MONTH], {"CNT_INSTALMENT": ["first", "last"], "CNT_INSTALMENT_FUTURE": ["last"]}),
     )
     shrunk = F.col("CNT_INSTALMENT_FIRST") - F.col("CNT_INSTALMENT_LAST")
     return loans.select(
-        ID,
-        *extra_keys,
+        *keys,
         "POS_LOAN_COMPLETED_MEAN",
         X.both_positive(shrunk, "POS_LOAN_COMPLETED_MEAN").alias("POS_COMPLETED_BEFORE_MEAN"),
         F.col("CNT_INSTALMENT_FUTURE_LAST").alias("POS_REMAINING_INSTALMENTS"),
@@ -67,13 +67,13 @@ def _rollup(df: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
     rows = roll(known, keys, {n: e for n, e in exprs.items() if n not in LOAN_OUTPUTS})
     if not of_loans:
         return rows
-    loans = loan_completion(known, [k for k in keys if k != ID])
+    loans = loan_completion(known, keys)
     return rows.join(roll(loans, keys, {c: aggregate(c, "sum") for c in of_loans}), keys, "left")
 
 
 def pos_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return _rollup(pos_features(df), [ID], pos_exprs(vocabulary))
+    return together(pos_features(df), ID, lambda rows: _rollup(rows, [ID], pos_exprs(vocabulary)))
 
 
 def pos_lookback(
@@ -83,4 +83,4 @@ def pos_lookback(
     columns: Collection[str] | None = None,
 ) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return lookback_with(pos_features(df), ID, MONTH, windows, pos_exprs(vocabulary), _rollup, columns)
+    return lookback(pos_features(df), ID, MONTH, windows, pos_exprs(vocabulary), columns, rollup=_rollup)

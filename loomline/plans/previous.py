@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
 from loomline.operators.lookback import DAY_WINDOWS, Windows, lookback
-from loomline.operators.rollup import Exprs, roll, segment_exprs, share_exprs, spec_exprs
+from loomline.operators.rollup import Exprs, roll_together, segment_exprs, share_exprs, spec_exprs
 
 ID = "SK_ID_CURR"
 ZERO_IS_NULL = ["DAYS_FIRST_DUE", "DAYS_LAST_DUE_1ST_VERSION", "DAYS_LAST_DUE", "DAYS_TERMINATION"]
@@ -68,7 +68,7 @@ def previous_exprs(vocabulary: encode.Vocabulary) -> Exprs:
 
 def previous_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return roll(previous_features(df), ID, previous_exprs(vocabulary))
+    return roll_together(previous_features(df), ID, previous_exprs(vocabulary))
 
 
 def previous_lookback(

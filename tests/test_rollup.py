@@ -115,3 +115,31 @@ def test_hot_key_is_folded_before_the_shuffle(spark):
     out = by_key(lookback(df, "id", "day", {"": None, "_year": 365}, spec_exprs({"x": ["sum"]})), "id")
     assert out[0]["x_SUM"] == 10000.0 and sum(r["x_SUM"] for r in out.values()) == 30000.0
     assert sum(r["x_SUM_year"] or 0 for r in out.values()) == df.filter("day >= -365").count()
+
+
+def test_hot_and_sparse_keys_agree(spark):
+    """The same rollup, with keys gathered, with hot keys kept apart, and combined in place."""
+    from loomline.operators.placement import together
+
+    df = spark.range(3000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900).alias("k"), F.col("id").alias("x")
+    )
+    fold = lambda part: part.groupBy("k").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    want = rows(fold(df))
+    assert rows(together(df, "k", fold)) == want
+    assert rows(together(df, "k", fold, hot_rows=500)) == want
+    assert "Union" in together(df, "k", fold, hot_rows=500)._jdf.queryExecution().optimizedPlan().toString()
+    dense = df.withColumn("k", F.col("k") % 5)
+    assert "repartition" not in together(dense, "k", fold)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_lookback_moves_rows_once(spark, frame):
+    """Tagging, rolling up and spreading share the one shuffle that gathered the rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = frame([(i % 50, -i, float(i)) for i in range(100)], "id int, day int, x double")
+        plan = lookback(df, "id", "day", DAY_WINDOWS, spec_exprs({"x": ["sum", "max"]}))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
