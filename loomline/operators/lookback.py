@@ -9,6 +9,7 @@ tagging, rolling up and spreading all happen there, without another shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,15 +82,16 @@ def lookback(
     windows: Windows,
     exprs: Exprs,
     columns: Collection[str] | None = None,
-    rollup: Callable[[DataFrame, list[str], Exprs], DataFrame] = roll,
-    prepare: Callable[[DataFrame, Windows], DataFrame] = lambda rows, windows: rows,
+    rollup: Callable[[DataFrame, list[str], Exprs], list[DataFrame]] = lambda rows, keys, exprs: [roll(rows, keys, exprs)],
+    prepare: Callable[[DataFrame, Windows, bool], DataFrame] = lambda rows, windows, gathered: rows,
 ) -> DataFrame:
     """Run one rollup over every window and lay the results side by side.
 
     ``columns`` names the outputs wanted: aggregates and windows that none of them
     needs are not computed. Keys outside every wanted window have no row. ``rollup``
-    replaces the plain group-by for rollups of more than one step, and ``prepare``
-    sees the rows of a key before they are copied per window.
+    replaces the plain group-by where there is more than one: the frames it returns
+    are spread and then joined on the key. ``prepare`` sees the rows of a key before
+    they are copied per window.
     """
     exprs = wanted_exprs(windows, exprs, columns)
     windows = wanted_windows(windows, exprs, columns)
@@ -97,9 +99,10 @@ def lookback(
     if not windows:
         return known.select(key).distinct()
 
-    def fold(rows: DataFrame) -> DataFrame:
-        tagged = tag_windows(prepare(rows, windows), offset, windows)
-        return spread_windows(rollup(tagged, [key, TAG], exprs), key, windows)
+    def fold(rows: DataFrame, gathered: bool) -> DataFrame:
+        tagged = tag_windows(prepare(rows, windows, gathered), offset, windows)
+        parts = [spread_windows(part, key, windows) for part in rollup(tagged, [key, TAG], exprs)]
+        return reduce(lambda a, b: a.join(b, key, "left"), parts)
 
     out = together(known, key, fold)
     return out if columns is None else out.select(key, *[c for c in out.columns if c in columns])

@@ -22,19 +22,23 @@ HOT_ROWS = 2_000_000
 # Bounds of the frequent-items sketch: keys reported, and keys tracked per task.
 HOT_KEYS = 1_000
 TRACKED = 16_384
-# Rows of one key a task must hold, on average, for combining in place to pay.
-COMBINE_GAIN = 4
+# Rows of one key a task must hold, on average, for combining in place to pay: about
+# how many times wider a rolled-up row is than the rows it came from.
+COMBINE_GAIN = 50
 
 
 def together(
     df: DataFrame,
     key: str,
-    fold: Callable[[DataFrame], DataFrame],
+    fold: Callable[[DataFrame, bool], DataFrame],
     probe: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``fold`` the frame per ``key``; rows of different keys must not affect each other.
 
+    ``fold(rows, gathered)`` is told whether each key's rows are together: then a key
+    has a bounded number of them, and grouping or windowing by it moves nothing.
+
     One narrow pass over ``probe`` (``df`` unless a cheaper frame has the same keys)
     counts rows and keys and sketches the frequent keys. What it finds only chooses
     the route: the result is the same whichever way a key goes.
@@ -53,9 +57,9 @@ def together(
     )
     busy = seen["tasks"] >= df.sparkSession.sparkContext.defaultParallelism
     if busy and seen["n"] >= COMBINE_GAIN * seen["keys"] * seen["tasks"]:
-        return fold(df)
+        return fold(df, False)
     hot = [r["item"] for r in seen["top"] if r["count"] > hot_rows]
     if not hot:
-        return fold(df.repartition(key))
+        return fold(df.repartition(key), True)
     is_hot = F.col(key).isin(hot)
-    return fold(df.filter(~is_hot).repartition(key)).unionByName(fold(df.filter(is_hot)))
+    return fold(df.filter(~is_hot).repartition(key), True).unionByName(fold(df.filter(is_hot), False))

@@ -103,7 +103,7 @@ def roll(df: DataFrame, keys: str | Sequence[str], exprs: Exprs) -> DataFrame:
 
 def roll_together(df: DataFrame, key: str, exprs: Exprs, probe: DataFrame | None = None) -> DataFrame:
     """:func:`roll` for wide rollups: see :mod:`loomline.operators.placement`."""
-    return together(known_keys(df, [key]), key, lambda rows: roll(rows, key, exprs), probe)
+    return together(known_keys(df, [key]), key, lambda rows, _: roll(rows, key, exprs), probe)
 
 
 def agg_spec(

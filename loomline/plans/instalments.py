@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
@@ -77,19 +77,26 @@ def instalment_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None
     return roll_together(instalment_features(df), ID, instalment_exprs(vocabulary), probe=df)
 
 
-def _paid_by_window(rows: DataFrame, windows: Windows) -> DataFrame:
+def _paid_by_window(rows: DataFrame, windows: Windows, gathered: bool) -> DataFrame:
     """Attach, as an array, the part payments of the instalment added up in each window.
 
-    The applicant's key is part of the instalment's: where rows were brought together
-    by applicant, neither the sums nor the join move them again.
+    The applicant's key is part of the instalment's, so over gathered rows this is a
+    window that moves nothing; a key too large to gather is summed and joined back.
     """
-    inside, paid = depth(OFFSET, windows), F.col("AMT_PAYMENT")
-    sums = [F.coalesce(F.sum(F.when(inside > i, paid)), F.lit(0.0)) for i in range(len(windows))]
-    return rows.join(roll(rows, [ID, *INSTALMENT], {"_paid": F.array(*sums)}), [ID, *INSTALMENT], "left")
-
-
-def _rollup(tagged: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
-    return roll(_payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG)))), keys, exprs)
+    keys, inside = [ID, *INSTALMENT], depth(OFFSET, windows)
+    paid = [F.when(inside > i, F.col("AMT_PAYMENT")) for i in range(len(windows))]
+    if not gathered:
+        sums = F.array(*[F.coalesce(F.sum(p), F.lit(0.0)) for p in paid])
+        return rows.join(roll(rows, keys, {"_paid": sums}), keys, "left")
+    same = Window.partitionBy(*keys)
+    known = F.col(INSTALMENT[0]).isNotNull() & F.col(INSTALMENT[1]).isNotNull()
+    sums = F.array(*[F.coalesce(F.sum(p).over(same), F.lit(0.0)) for p in paid])
+    return rows.withColumn("_paid", F.when(known, sums))
+
+
+def _rollup(tagged: DataFrame, keys: list[str], exprs: Exprs) -> list[DataFrame]:
+    rows = _payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG))))
+    return [roll(rows, keys, exprs)]
 
 
 def instalment_lookback(

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from loomline.functions import expr as X
 from loomline.operators import encode
 from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback
-from loomline.operators.placement import together
-from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, known_keys, roll, share_exprs, spec_exprs
+from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, roll, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
 
@@ -60,20 +59,19 @@ def pos_exprs(vocabulary: encode.Vocabulary) -> Exprs:
     return spec_exprs(POS_SPEC, "POS_") | share_exprs(vocabulary, "POS_") | {c: "" for c in LOAN_OUTPUTS}
 
 
-def _rollup(df: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
+def _rollup(df: DataFrame, keys: list[str], exprs: Exprs) -> list[DataFrame]:
     """Monthly rows and loans are two rollups on the same keys."""
-    known = known_keys(df, keys)
-    of_loans = [c for c in exprs if c in LOAN_OUTPUTS]
-    rows = roll(known, keys, {n: e for n, e in exprs.items() if n not in LOAN_OUTPUTS})
-    if not of_loans:
-        return rows
-    loans = loan_completion(known, keys)
-    return rows.join(roll(loans, keys, {c: aggregate(c, "sum") for c in of_loans}), keys, "left")
+    of_rows = {n: e for n, e in exprs.items() if n not in LOAN_OUTPUTS}
+    of_loans = {n: aggregate(n, "sum") for n in exprs if n in LOAN_OUTPUTS}
+    parts = [roll(df, keys, of_rows)] if of_rows else []
+    if of_loans:
+        parts.append(roll(loan_completion(df, keys), keys, of_loans))
+    return parts
 
 
 def pos_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return together(pos_features(df), ID, lambda rows: _rollup(rows, [ID], pos_exprs(vocabulary)))
+    return lookback(pos_features(df), ID, MONTH, {"": None}, pos_exprs(vocabulary), rollup=_rollup)
 
 
 def pos_lookback(

@@ -171,6 +171,21 @@ def test_instalments(make):
     assert out["INS_AMT_PAYMENT_MIN"] == 0.0 and out["INS_DAYS_ENTRY_PAYMENT_MAX"] == 3.0
 
 
+def test_instalments_of_a_hot_applicant(make, monkeypatch):
+    """The summed-and-joined route gives what the gathered route gives."""
+    from loomline.operators import lookback, placement
+
+    df = make(
+        "installments_payments",
+        *[{ID: i % 3, "SK_ID_PREV": i % 5 or None, "NUM_INSTALMENT_NUMBER": i % 2, "DAYS_INSTALMENT": -3 * i, "AMT_INSTALMENT": 5,
+           "AMT_PAYMENT": i % 7} for i in range(60)],
+    )
+    want = by_key(I.instalment_lookback(df), ID)
+    hot = lambda rows, key, fold: placement.together(rows, key, fold, hot_rows=1)
+    monkeypatch.setattr(lookback, "together", hot)
+    assert by_key(I.instalment_lookback(df), ID) == want and len(want) == 3
+
+
 def test_cards(make):
     df = make(
         "credit_card_balance",

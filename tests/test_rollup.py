@@ -124,7 +124,7 @@ def test_hot_and_sparse_keys_agree(spark):
     df = spark.range(3000, numPartitions=4).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900).alias("k"), F.col("id").alias("x")
     )
-    fold = lambda part: part.groupBy("k").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    fold = lambda part, gathered=False: part.groupBy("k").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
     want = rows(fold(df))
     assert rows(together(df, "k", fold)) == want
     assert rows(together(df, "k", fold, hot_rows=500)) == want
