@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import evaluate as E
 from loomline.operators import learn as L
+from loomline.plans.training import compare_models, prepare
 from loomline.queries.registry import query, rounded
 from loomline.sources.tables import cut_lineage, table
 
@@ -198,15 +199,12 @@ def training_table(spark, folder):
         F.col("o_totalprice").alias("total"),
         F.when((F.col("o_orderpriority") < "3") == (F.col("o_totalprice") > 200000), 1).otherwise(0).alias("label"),
     )
-    df = orders.join(lines, "o_orderkey", "left")
-    return L.standardise(df, df, FEATURES)
+    return orders.join(lines, "o_orderkey", "left")
 
 
 def _split(spark, folder):
-    df = L.stratified_split(training_table(spark, folder), "o_orderkey", "label", 0.2)
-    # Every training iteration reads the table again, so it starts from files.
-    df = cut_lineage(L.balanced_weight(df, "label"))
-    return df.filter("split = 'train'"), df.filter("split = 'cv'")
+    train, cv, _ = prepare(training_table(spark, folder), "o_orderkey", "label", FEATURES, k=len(FEATURES))
+    return train, cv
 
 
 def _train(kind: str, **params):
@@ -276,5 +274,4 @@ def model_compare(spark, folder):
         "forest": {"numTrees": 10, "maxDepth": 5, "seed": 42},
         "boosted": {"maxIter": 5, "maxDepth": 3, "seed": 42},
     }
-    scored = {k: L.score(L.fit(k, train, FEATURES, "label", "weight", **p), cv) for k, p in kinds.items()}
-    return E.compare({k: E.auc(df, "label", "score") for k, df in scored.items()})
+    return compare_models(train, cv, FEATURES, "label", kinds)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from loomline.operators import evaluate as E
 from loomline.operators import learn as L
-from loomline.operators.columns import numeric_columns, sanitise_names, without
+from loomline.operators.columns import sanitise_names
 from loomline.operators.lookback import DAY_WINDOWS, MONTH_WINDOWS
 from loomline.plans import application as A
 from loomline.plans import bureau as B
@@ -13,6 +12,7 @@ from loomline.plans import instalments as I
 from loomline.plans import matrix as M
 from loomline.plans import pos as P
 from loomline.plans import previous as V
+from loomline.plans import training as T
 from loomline.queries import sqlgen as S
 from loomline.queries.derived import cte, frame, frames
 from loomline.queries.registry import query, rounded
@@ -453,10 +453,7 @@ def score_applicants(spark, folder):
     base = M.applicants(tables["application"])
     rolled = B.bureau_rollup(tables["bureau"], tables["bureau_balance"])
     matrix = cut_lineage(sanitise_names(base.join(rolled, ID, "left")))
-    # EXT_SOURCE and income decide the made-up label outright, so they stay out of the features.
-    features = without(numeric_columns(matrix), ID, "TARGET")
-    features = [c for c in features if c.startswith(("BUREAU_", "C_", "NAME_", "DAYS_"))]
+    # Income and external scores decide the made-up label outright, so they are left out.
+    features = [c for c in T.feature_columns(matrix) if c.startswith(("BUREAU_", "C_", "NAME_", "DAYS_"))]
     top = L.selected(L.anova_topk(matrix, features, "TARGET", 20))
-    weighted = L.positive_weight(matrix.select(ID, "TARGET", *top), "TARGET", 6.014158781875895)
-    result = L.out_of_fold("boosted", weighted, ID, top, "TARGET", "weight", 3, maxDepth=3, maxIter=5, seed=42)
-    return E.score_label(result.predict(weighted, ID), "score")
+    return T.score_applicants(matrix, ID, "TARGET", top, folds=3, maxDepth=3, maxIter=5, seed=42)
