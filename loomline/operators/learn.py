@@ -49,9 +49,9 @@ def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float = 0
     with every row: the table itself is never sorted or shuffled.
     """
     hashed = known_keys(df, [label]).select(F.col(label), id_hash(id_col, seed).alias("_h"))
-    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     per_label = Window.partitionBy(label)
-    # At most 4096 rows per class reach this window.
+    # At most 65,536 rows per class reach this window.
     edges = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_here")).select(
         label,
         "_b",

@@ -19,9 +19,10 @@ from loomline.operators.encode import quote
 
 # A key with more rows than this is not gathered in one task.
 HOT_ROWS = 2_000_000
-# Bounds of the frequent-items sketch: keys reported, and keys tracked per task.
+# Bounds of the frequent-items sketch: keys reported, and keys tracked per task. A key
+# it can miss holds well under a thousandth of all rows.
 HOT_KEYS = 1_000
-TRACKED = 16_384
+TRACKED = 4_096
 # Rows of one key a task must hold, on average, for combining in place to pay: about
 # how many times wider a rolled-up row is than the rows it came from.
 COMBINE_GAIN = 50

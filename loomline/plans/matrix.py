@@ -62,6 +62,7 @@ def feature_matrix(tables: Tables, folder: str | None = None, columns: Columns =
     """
     out = applicants(tables["application"], tables.get("application_test"))
     for rollup in rollups(tables, folder, columns).values():
-        out = join_suffix(out, rollup, ID, rsuffix="_y")
+        if rollup.columns != [ID]:
+            out = join_suffix(out, rollup, ID, rsuffix="_y")
     out = drop_repeated_columns(out)
     return out if columns is None else out.select(ID, *[c for c in columns if c != ID])
