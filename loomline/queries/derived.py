@@ -46,7 +46,7 @@ COLUMNS: dict[str, dict[str, str]] = {
         "CNT_CHILDREN": "CASE WHEN c_nationkey < 10 THEN 0 WHEN c_nationkey < 18 THEN 1 ELSE 3 END",
         "DAYS_BIRTH": "-8000 - floor(c_acctbal + 1000)",
         "DAYS_EMPLOYED": "CASE WHEN c_nationkey = 7 THEN 365243 ELSE -1 - floor((c_acctbal + 1000) / 3) END",
-        "DAYS_ID_PUBLISH": "-floor((c_acctbal + 1000) / 2)",
+        "DAYS_ID_PUBLISH": "0 - floor((c_acctbal + 1000) / 2)",
         "FLAG_MOBIL": "1",
         "FLAG_EMP_PHONE": "CASE WHEN c_nationkey > 3 THEN 1 ELSE 0 END",
         "FLAG_CONT_MOBILE": "1",
@@ -57,8 +57,8 @@ COLUMNS: dict[str, dict[str, str]] = {
         "AMT_ANNUITY": "CASE WHEN c_nationkey = 2 THEN NULL WHEN c_nationkey = 3 THEN 0 ELSE 20000 + c_nationkey * 1000 END",
         "AMT_GOODS_PRICE": f"CASE WHEN c_nationkey = 11 THEN NULL ELSE {CENTS} * 2 + 450000 END",
         "CNT_FAM_MEMBERS": "CASE WHEN c_nationkey = 5 THEN NULL WHEN c_nationkey < 10 THEN 2 ELSE 3 END",
-        "DAYS_REGISTRATION": "-floor(c_acctbal + 1000)",
-        "DAYS_LAST_PHONE_CHANGE": "-floor((c_acctbal + 1000) / 8)",
+        "DAYS_REGISTRATION": "0 - floor(c_acctbal + 1000)",
+        "DAYS_LAST_PHONE_CHANGE": "0 - floor((c_acctbal + 1000) / 8)",
         "OWN_CAR_AGE": "CASE WHEN c_nationkey < 12 THEN NULL ELSE c_nationkey END",
         "EXT_SOURCE_1": "CASE WHEN c_nationkey < 6 THEN NULL ELSE c_nationkey / 32.0 END",
         "EXT_SOURCE_2": "c_nationkey / 64.0",

@@ -101,10 +101,11 @@ def _application_features_sql() -> str:
     flags = [
         f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in APPLICATION_VOCABULARY.items() for v in vs
     ]
+    # Rounding drops the sign of a zero in Spark; adding zero does so in DuckDB.
     kept = [c for c in NUMERIC if c not in DOCUMENT_FLAGS or c == A.KEPT_DOCUMENT]
     one = ", ".join(f"{e} AS {c}" for c, e in {**ratios, **medians}.items())
     all_columns = ", ".join(
-        [*kept, *[f"round({c}, 9) AS {c}" for c in ratios], *medians, *[f"round({e}, 9) AS {c}" for c, e in kinds.items()], *flags]
+        [*kept, *[f"round({c}, 9) + 0 AS {c}" for c in ratios], *medians, *[f"round({e}, 9) AS {c}" for c, e in kinds.items()], *flags]
     )
     return f"WITH {_clean_application_cte()}, f AS (SELECT *, {one} FROM cleaned) SELECT {all_columns} FROM f"
 
@@ -278,7 +279,8 @@ def _pos_window(suffix: str, where: str) -> str:
         return f"{f}({c}, (MONTHS_BALANCE, {c})) FILTER (WHERE {c} IS NOT NULL)"
 
     rows = S.spec_items(P.POS_SPEC, "POS_", suffix) + S.share_items(POS_VOCABULARY, "POS_", suffix)
-    sums = [f'round(coalesce(CAST(sum({c}) AS DOUBLE), 0), 6) AS "{c}{suffix}"' for c in POS_LOAN_COLUMNS]
+    sums = [f'round(coalesce(CAST(sum({c}) AS DOUBLE), 0), 6) AS "{c}{suffix}"' for c in POS_LOAN_COLUMNS if "BEFORE" not in c]
+    sums.append(f'coalesce(CAST(sum(POS_COMPLETED_BEFORE_MEAN) AS BIGINT), 0) AS "POS_COMPLETED_BEFORE_MEAN{suffix}"')
     return f"""
     (WITH w AS (SELECT * FROM pos_cash_balance WHERE {where}),
     l AS (SELECT SK_ID_PREV, arg_min({ID}, (MONTHS_BALANCE, {ID})) AS {ID},

@@ -22,7 +22,7 @@ ORDER_SPEC = {
 # Whole cents, so that sums and means do not depend on the order of addition.
 ORDERS_SQL = (
     "SELECT o_custkey, o_orderkey, o_orderstatus, round(o_totalprice * 100) AS cents, "
-    "floor(o_totalprice / 1000) AS thousands, "
+    "CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, "
     "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS priority, "
     "date_diff('day', DATE '2001-08-02', CAST(o_orderdate AS DATE)) AS days FROM orders"
 )

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+# Whole-number columns: their sums are BIGINT and need no rounding.
+WHOLE = {
+    "l_linenumber", "l_linenumber_SIZE", "MONTHS_BALANCE", "MONTHS_BALANCE_SIZE", "SK_DPD", "LATE_PAYMENT",
+    "CNT_CREDIT_PROLONG",
+}
 FUNCTIONS = {"min": "min", "max": "max", "mean": "avg", "var": "var_samp"}
 
 
@@ -15,7 +20,7 @@ def agg(column: str, how: str, where: str = "TRUE") -> str:
         return f"{FUNCTIONS[how]}({value}) {f}"
     some = f"CASE WHEN count(*) {f} > 0 THEN"
     if how == "sum":
-        return f"{some} coalesce(CAST(sum({column}) {f} AS DOUBLE), 0) END"
+        return f"{some} coalesce(CAST(sum({column}) {f} AS {'BIGINT' if column in WHOLE else 'DOUBLE'}), 0) END"
     if how == "size":
         return f"{some} count(*) {f} END"
     if how == "count":
@@ -40,7 +45,7 @@ def spec_items(
         for how in hows:
             e = agg(column, how, where)
             digits = (places or {}).get(column, default_places)
-            if digits is not None and how in ("mean", "var", "sum"):
+            if digits is not None and (how in ("mean", "var") or how == "sum" and column not in WHOLE):
                 e = f"round({e}, {digits})"
             out.append(f'{e} AS "{prefix}{column}_{how.upper() if upper else how}{suffix}"')
     return out

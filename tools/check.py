@@ -27,13 +27,8 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(v: object) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(int(v))
-    if isinstance(v, (int, float)):
-        return repr(float(v) + 0.0)
-    return str(v)
+    """Exact: whole numbers and doubles differ, and so do the two zeros."""
+    return "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else str(v)
 
 
 def normalise(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
