@@ -73,7 +73,7 @@ def byte_grams16(buf: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     eights = np.ndarray((n + 8,), dtype="<u8", buffer=buf.tobytes(), strides=(1,)).copy()
-    return mix(mix(eights[:n]) * ODD + eights[8:])
+    return mix(eights[:n] * ODD + (eights[8:] ^ (eights[8:] >> np.uint64(29))) * ODD_INVERSE)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -35,8 +35,8 @@ from loomline.llm.bytegrams import pieces
 from loomline.llm.scratch import count_blocks, in_blocks
 
 BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 1 << 20
-INDEX_BYTES = 2 << 20
+PIECE_BYTES = 1 << 17
+INDEX_BYTES = 1 << 20
 SHARDS_PER_BLOCK = 3
 NO_ID = np.iinfo(np.int64).max
 
@@ -53,7 +53,8 @@ class Cut:
 class Method(Protocol):
     width: int  # units in a window
 
-    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[int], bytes]]: ...
+    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[np.ndarray], list[bytes]]]:
+        """The spans of some texts, and what gives the contents of chosen spans."""
 
     def index(self, contents: list[bytes], firsts: np.ndarray, shared: np.ndarray) -> list[np.ndarray]:
         """For each content the smallest document id of each of its windows."""
@@ -64,8 +65,11 @@ class Method(Protocol):
         """Number of units of a text, and what is left of it."""
 
 
-def spans_of(minima: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring valid windows of one document with one minimum: anchor, document, first, count."""
+def spans_of(minima: np.ndarray, valid: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring valid windows of one document with one minimum: anchor, document, first, count.
+
+    Only in periodic text is a run longer than ``most``; it is cut into spans of that many windows.
+    """
     at = np.flatnonzero(valid)
     if not len(at):
         none = np.zeros(0, dtype=np.int64)
@@ -74,7 +78,12 @@ def spans_of(minima: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> tuple[np
     new = np.ones(len(at), dtype=bool)
     new[1:] = (np.diff(at) != 1) | (low[1:] != low[:-1]) | (own[1:] != own[:-1])
     starts = np.flatnonzero(new)
-    return low[starts], own[starts], at[starts], np.diff(np.append(starts, len(at)))
+    count = np.diff(np.append(starts, len(at)))
+    if int(count.max()) > most:
+        parts = -(-count // most)
+        step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, count = np.repeat(starts, parts) + step * most, np.minimum(np.repeat(count, parts) - step * most, most)
+    return low[starts], own[starts], at[starts], count
 
 
 def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -160,14 +169,14 @@ def _wanted(shards: list[int], lows: list[bytes]) -> np.ndarray:
 
 
 def _selected(method: Method, texts: list[bytes], wanted: np.ndarray, shards: int):
-    """For each piece of the block: where it starts, its cut, and (span, shard, low, content) of the wanted spans."""
+    """For each piece of the block: where it starts and ends, its cut, and (span, document, shard, low, content) of the wanted spans."""
     for a, b in pieces([len(t) for t in texts], PIECE_BYTES):
-        cut, content = method.cut(texts[a:b])
+        cut, contents = method.cut(texts[a:b])
         shard, low = _shards(cut.anchor, shards)
         number = low.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
         at = np.searchsorted(wanted, number)
-        hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == number).tolist() if len(wanted) else []
-        yield a, b, cut, [(int(i), int(shard[i]), int(low[i]), content(int(i))) for i in hit]
+        hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == number) if len(wanted) else np.zeros(0, dtype=np.int64)
+        yield a, b, cut, zip(hit.tolist(), (cut.doc[hit] + a).tolist(), shard[hit].tolist(), low[hit].tolist(), contents(hit))
 
 
 def _spans(method: Method, shards: int) -> Callable:
@@ -175,12 +184,12 @@ def _spans(method: Method, shards: int) -> Callable:
         ids, texts = _texts(docs)
         wanted = _wanted(verdict.column("shard").to_pylist(), verdict.column("low").to_pylist())
         own: dict[int, dict[bytes, list]] = {}
-        for a, _, cut, found in _selected(method, texts, wanted, shards):
-            for i, shard, low, content in found:
-                doc = ids[a + int(cut.doc[i])]
-                seen = own.setdefault(shard, {}).get(content)
+        for *_, found in _selected(method, texts, wanted, shards):
+            for _, j, shard, low, content in found:
+                doc, there = ids[j], own.setdefault(shard, {})
+                seen = there.get(content)
                 if seen is None:
-                    own[shard][content] = [low, doc, 0]
+                    there[content] = [low, doc, 0]
                 elif doc != seen[1]:
                     seen[1], seen[2] = min(seen[1], doc), 1
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
@@ -254,39 +263,62 @@ def _index(method: Method) -> Callable:
     return look_up
 
 
+def _inside(up: np.ndarray, down: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+    """The runs from ``up`` to ``down`` that lie in a range, counted from its start; a run may go on over its ends."""
+    if start == end:
+        return []
+    x, y = np.searchsorted(down, start, side="right"), np.searchsorted(up, end, side="left")
+    return [(max(int(p), start) - start, min(int(q), end) - start) for p, q in zip(up[x:y], down[x:y])]
+
+
 def _marks(method: Method, shards: int) -> Callable:
     def mark(docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts = _texts(docs)
-        told = [r for r in replies.to_pylist() if r["copy"] is None]
-        copies = {(r["copy"], r["digest"]) for r in replies.to_pylist() if r["copy"] is not None}
+        rows = replies.to_pylist()
+        told = [r for r in rows if r["copy"] is None]
+        copies: dict[int, set[str]] = {}
+        for r in rows:
+            if r["copy"] is not None:
+                copies.setdefault(r["copy"], set()).add(r["digest"])
         wanted = _wanted([r["shard"] for r in told], [r["low"] for r in told])
         streams = {
             r["shard"]: np.repeat(np.frombuffer(r["value"], dtype=np.int64), np.frombuffer(r["length"], dtype=np.uint32)) for r in told
         }
         used: dict[int, int] = {}
-        firsts: dict[tuple[int, bytes], np.ndarray] = {}
+        firsts: dict[int, dict[bytes, tuple[np.ndarray, int, int]]] = {s: {} for s in streams}
         n_units, removed, kept = [], [], []
         for a, b, cut, found in _selected(method, texts, wanted, shards):
             change = np.zeros(int(cut.base[-1]) + 1, dtype=np.int32)
-            for i, shard, _, content in found:
-                answer = firsts.get((shard, content))
+            first, width = cut.first.tolist(), method.width
+            for i, j, shard, _, content in found:
+                answer = firsts[shard].get(content)
                 if answer is None:
-                    at, n = used.get(shard, 0), method.windows(content)
-                    answer = firsts[(shard, content)] = streams[shard][at : at + n]
-                    used[shard] = at + n
-                early = answer < ids[a + int(cut.doc[i])]
-                if early.any():
-                    at, n = int(cut.first[i]), int(cut.count[i])
+                    at = used.get(shard, 0)
+                    used[shard] = at + method.windows(content)
+                    each = streams[shard][at : used[shard]]
+                    answer = firsts[shard][content] = (each, int(each.min()), int(each.max()))
+                each, least, most = answer
+                doc = ids[j]
+                if least >= doc:
+                    continue
+                at, n = first[i], len(each)
+                if most < doc:  # every window of the span
+                    change[at] += 1
+                    change[at + n + width - 1] -= 1
+                else:
+                    early = each < doc
                     change[at : at + n] += early
-                    change[at + method.width : at + method.width + n] -= early
+                    change[at + width : at + width + n] -= early
             gone = np.cumsum(change[:-1]) > 0
+            step = np.diff(gone.astype(np.int8), prepend=0, append=0)
+            up, down = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            edges = cut.base.tolist()
             for j in range(a, b):
-                start, end = int(cut.base[j - a]), int(cut.base[j - a + 1])
-                if end - start >= method.width and copies and (ids[j], hashlib.md5(texts[j]).hexdigest()) in copies:
+                start, end = edges[j - a], edges[j - a + 1]
+                if ids[j] in copies and end - start >= width and hashlib.md5(texts[j]).hexdigest() in copies[ids[j]]:
                     runs = [(0, end - start)]
                 else:
-                    step = np.diff(gone[start:end].astype(np.int8), prepend=0, append=0)
-                    runs = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+                    runs = _inside(up, down, start, end)
                 n, rest = method.kept(texts[j], end - start, runs)
                 n_units.append(n)
                 removed.append([{"start": x, "end": y} for x, y in runs])

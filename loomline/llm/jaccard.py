@@ -39,7 +39,7 @@ SHINGLE = 3
 PERCENT = 90
 CELL = 4096
 BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 17
 #: A list longer than this is merged with the others by sorting in place of a heap: the same counts.
 HEAP_ENTRIES = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

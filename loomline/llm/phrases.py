@@ -33,7 +33,7 @@ class Words:
 
     width = WIDTH
 
-    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[int], bytes]]:
+    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[np.ndarray], list[bytes]]]:
         buf, begin, _ = joined(texts, b" ")
         data = buf.tobytes()
         start, end = words(buf)
@@ -41,13 +41,13 @@ class Words:
         doc = np.repeat(np.arange(len(texts)), np.diff(base))
         minima = sliding_min(grams(word_hashes(buf, start, end), GRAM), WIDTH - GRAM + 1)
         valid = doc[: len(minima)] == doc[WIDTH - 1 : WIDTH - 1 + len(minima)]
-        anchor, own, first, count = spans_of(minima, valid, doc[: len(minima)])
+        anchor, own, first, count = spans_of(minima, valid, doc[: len(minima)], WIDTH - GRAM + 1)
 
-        def content(i: int) -> bytes:
-            piece = data[int(start[first[i]]) : int(end[first[i] + count[i] + WIDTH - 2])]
-            return b" ".join(piece.split())
+        def contents(hit: np.ndarray) -> list[bytes]:
+            a, b = start[first[hit]], end[first[hit] + count[hit] + WIDTH - 2]
+            return [b" ".join(data[x:y].split()) for x, y in zip(a.tolist(), b.tolist())]
 
-        return Cut(anchor, own, first, count, base), content
+        return Cut(anchor, own, first, count, base), contents
 
     def windows(self, content: bytes) -> int:
         return content.count(b" ") + 2 - WIDTH

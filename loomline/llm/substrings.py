@@ -26,7 +26,6 @@ from loomline.llm.firstseen import Cut, remove_seen, spans_of
 
 WIDTH = 50
 GRAM = 16
-_PACKED = 7  # symbols of nine bits in one number
 
 
 class RunLengthIndex:
@@ -54,6 +53,8 @@ class RunLengthIndex:
         #: Suffix positions at the last row of each run.
         self.samples = order[np.append(starts[1:], n) - 1]
         self.n = n
+        #: The run of each row.
+        self.run = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
         # Intervals of rows that agree for ``depth`` bytes.
         near = np.zeros(n, dtype=bool)
         a, b = order[:-1], order[1:]
@@ -65,52 +66,78 @@ class RunLengthIndex:
         self.owner = span[order]
 
     @staticmethod
-    def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = keys[order[1:]] != keys[order[:-1]]
-        rank = np.empty(len(keys), dtype=np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return order, rank, int(new.sum())
+    def _sorted(major: np.ndarray, minor: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Order by two numbers of so many bits, and where in it a new pair begins."""
+        n = len(major)
+        at = max(1, (n - 1).bit_length())
+        new = np.ones(n, dtype=bool)
+        if sum(bits) + at <= 64:  # the position fits into the number that is sorted
+            packed = (major.astype(np.uint64) << np.uint64(bits[1] + at)) | (minor.astype(np.uint64) << np.uint64(at))
+            packed |= np.arange(n, dtype=np.uint64)
+            packed.sort()
+            order = (packed & np.uint64((1 << at) - 1)).astype(np.int64)
+            packed >>= np.uint64(at)
+            new[1:] = packed[1:] != packed[:-1]
+        else:
+            order = np.lexsort((minor, major))
+            a, b = major[order], minor[order]
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return order, new
 
     def _suffixes(self, text, span, left, m, depth):
-        """Suffix order by doubling; and the ranks by a number of symbols that is at least half of ``depth``."""
+        """Suffix order by doubling, where each round sorts only what is still tied; a rank is the first row of
+        its ties. Also the ranks by a number of symbols that is at least half of ``depth``."""
         n = len(text)
-        symbols = np.where(left == 0, 0, text.astype(np.int64) + 1)
-        padded = np.concatenate((symbols, np.zeros(_PACKED, dtype=np.int64)))
+        used = np.zeros(257, dtype=bool)
+        used[text.astype(np.int16) + 1] = True
+        letters = np.cumsum(used)  # symbols from 1 up, in the order of the bytes
+        bits = int(letters[-1]).bit_length()
+        symbols = np.where(left == 0, 0, letters[text.astype(np.int16) + 1])
+        width = max(1, min(42 // bits, depth - 1))
+        padded = np.concatenate((symbols, np.zeros(width, dtype=np.int64)))
         keys = np.zeros(n, dtype=np.int64)
-        for j in range(_PACKED):
-            keys = (keys << 9) | np.where(left >= j, padded[j : j + n], 0)
-        order, rank, distinct = self._ranks(keys)
-        width, deep = _PACKED, None
+        for j in range(width):
+            keys = (keys << bits) | np.where(left >= j, padded[j : j + n], 0)
+        order, new = self._sorted(keys, np.zeros(n, dtype=np.int8), (width * bits, 0))
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, n))
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.repeat(starts, sizes)
+        rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        deep, high = None, (m + n).bit_length()
         while True:
             if deep is None and width * 2 >= depth:
-                deep = (width, rank)
-            if distinct == n and deep is not None:
+                deep = (width, rank.copy())
+            if not len(rows) and deep is not None:
                 return order, rank, deep
-            ahead = np.minimum(np.arange(n) + width, n - 1)
-            rest = np.where(left < width, span, m + rank[ahead])
-            order, rank, distinct = self._ranks(rank * (m + n) + rest)
+            if len(rows):
+                at = order[rows]
+                ahead = rank[np.minimum(at + width, n - 1)]
+                ties, new = self._sorted(rank[at], np.where(left[at] < width, span[at], m + ahead), (n.bit_length(), high))
+                at = at[ties]
+                order[rows] = at
+                starts = np.flatnonzero(new)
+                sizes = np.diff(np.append(starts, len(rows)))
+                rank[at] = np.repeat(rows[starts], sizes)
+                rows = rows[np.repeat(sizes > 1, sizes)]
             width *= 2
 
     @staticmethod
     def _agree(deep: tuple[int, np.ndarray], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         width, rank = deep
-        if width >= depth:
-            raise ValueError("the first ranks reach beyond the window")
         shift = depth - width
         return (rank[a] == rank[b]) & (rank[a + shift] == rank[b + shift])
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """The rows of the strings one byte longer to the left."""
-        run = np.searchsorted(self.starts, rows, side="right") - 1
+        run = self.run[rows]
         return self.target[run] + rows - self.starts[run]
 
     def locate(self, row: int) -> int:
         """The position of a row: steps until a run end, whose position is sampled."""
         steps = 0
         while True:
-            run = int(np.searchsorted(self.starts, row, side="right")) - 1
+            run = int(self.run[row])
             last = (self.starts[run + 1] if run + 1 < len(self.starts) else self.n) - 1
             if row == last:
                 return int(self.samples[run]) + steps
@@ -127,8 +154,9 @@ class RunLengthIndex:
         base = np.concatenate(([0], np.cumsum(sizes)))
         out = np.zeros(int(base[-1]), dtype=np.int32)
         rows, at = order.astype(np.int64), (base[:-1] + sizes)[order]
-        for t in range(int(ranked[0]) if len(ranked) else 0):
-            n = int(np.searchsorted(-ranked, -t, side="left"))
+        longest = int(ranked[0]) if len(ranked) else 0
+        active = np.searchsorted(-ranked, -np.arange(longest), side="left").tolist()
+        for n in active:
             rows, at = self.step(rows[:n]), at[:n] - 1
             out[at] = self.interval[rows]
         return out, base
@@ -139,7 +167,7 @@ class Bytes:
 
     width = WIDTH
 
-    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[int], bytes]]:
+    def cut(self, texts: list[bytes]) -> tuple[Cut, Callable[[np.ndarray], list[bytes]]]:
         buf, begin, end = joined(texts)
         sizes = end - begin
         base = np.append(begin, len(buf))
@@ -147,8 +175,13 @@ class Bytes:
         minima = sliding_min(byte_grams16(buf), WIDTH - GRAM + 1)
         doc = np.repeat(np.arange(len(texts)), sizes)[: len(minima)]
         valid = np.arange(len(minima)) + WIDTH <= end[doc] if len(doc) else np.zeros(0, dtype=bool)
-        anchor, own, first, count = spans_of(minima, valid, doc)
-        return Cut(anchor, own, first, count, base), lambda i: data[int(first[i]) : int(first[i] + count[i]) + WIDTH - 1]
+        anchor, own, first, count = spans_of(minima, valid, doc, WIDTH - GRAM + 1)
+
+        def contents(hit: np.ndarray) -> list[bytes]:
+            at = first[hit]
+            return [data[a:b] for a, b in zip(at.tolist(), (at + count[hit] + WIDTH - 1).tolist())]
+
+        return Cut(anchor, own, first, count, base), contents
 
     def windows(self, content: bytes) -> int:
         return len(content) - WIDTH + 1
