@@ -263,6 +263,33 @@ def _index(method: Method) -> Callable:
     return look_up
 
 
+class _Stream:
+    """The smallest ids of the windows that a block sent to a shard, as runs, taken content by content."""
+
+    def __init__(self, value: bytes, length: bytes):
+        self.value = np.frombuffer(value, dtype=np.int64).tolist()
+        self.end = np.cumsum(np.frombuffer(length, dtype=np.uint32).astype(np.int64)).tolist()
+        self.run = self.at = 0
+        self.known: dict[bytes, tuple[int, int, np.ndarray | None]] = {}
+
+    def take(self, n: int) -> tuple[int, int, np.ndarray | None]:
+        """The smallest id of the next ``n`` windows, ``n``, and the id of each where they differ."""
+        stop = self.at + n
+        while self.end[self.run] <= self.at:
+            self.run += 1
+        if self.end[self.run] >= stop:
+            self.at = stop
+            return self.value[self.run], n, None
+        ids = []
+        while self.at < stop:
+            if self.end[self.run] <= self.at:
+                self.run += 1
+            part = min(stop, self.end[self.run]) - self.at
+            ids += [self.value[self.run]] * part
+            self.at += part
+        return min(ids), n, np.array(ids, dtype=np.int64)
+
+
 def _inside(up: np.ndarray, down: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
     """The runs from ``up`` to ``down`` that lie in a range, counted from its start; a run may go on over its ends."""
     if start == end:
@@ -281,28 +308,21 @@ def _marks(method: Method, shards: int) -> Callable:
             if r["copy"] is not None:
                 copies.setdefault(r["copy"], set()).add(r["digest"])
         wanted = _wanted([r["shard"] for r in told], [r["low"] for r in told])
-        streams = {
-            r["shard"]: np.repeat(np.frombuffer(r["value"], dtype=np.int64), np.frombuffer(r["length"], dtype=np.uint32)) for r in told
-        }
-        used: dict[int, int] = {}
-        firsts: dict[int, dict[bytes, tuple[np.ndarray, int, int]]] = {s: {} for s in streams}
+        streams = {r["shard"]: _Stream(r["value"], r["length"]) for r in told}
         n_units, removed, kept = [], [], []
         for a, b, cut, found in _selected(method, texts, wanted, shards):
             change = np.zeros(int(cut.base[-1]) + 1, dtype=np.int32)
             first, width = cut.first.tolist(), method.width
             for i, j, shard, _, content in found:
-                answer = firsts[shard].get(content)
+                stream, doc = streams[shard], ids[j]
+                answer = stream.known.get(content)
                 if answer is None:
-                    at = used.get(shard, 0)
-                    used[shard] = at + method.windows(content)
-                    each = streams[shard][at : used[shard]]
-                    answer = firsts[shard][content] = (each, int(each.min()), int(each.max()))
-                each, least, most = answer
-                doc = ids[j]
+                    answer = stream.known[content] = stream.take(method.windows(content))
+                least, n, each = answer
                 if least >= doc:
                     continue
-                at, n = first[i], len(each)
-                if most < doc:  # every window of the span
+                at = first[i]
+                if each is None:  # all windows of the span have one id
                     change[at] += 1
                     change[at + n + width - 1] -= 1
                 else:
