@@ -5,8 +5,8 @@ least ``percent`` per cent. Equal sets are one class from the start. Classes tha
 together exactly: sets of nearly one size are cut by hash into more parts than they can differ in, so
 linked sets agree in a part. The smallest class of those that share a part leads it, and every class goes
 to the groups of its leaders. In a group the T-occurrence search runs: inverted lists of the shingles,
-the longest set aside (DivideSkip), the short ones merged by heap, the candidates probed by bisection in
-the long ones, and those that reach the required overlap are links. A group hands back a spanning
+the longest set aside (DivideSkip), the short ones merged (by heap, or by counting where they are many),
+the candidates probed by bisection in the long ones, and those that reach the required overlap are links. A group hands back a spanning
 forest, not all pairs. Components are found by alternating stars.
 
 A block of documents names a part or sends a set once however many of its documents have it, and only
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +39,8 @@ PERCENT = 90
 CELL = 4096
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 17
-#: A list longer than this is merged with the others by sorting in place of a heap: the same counts.
-HEAP_ENTRIES = 2048
+#: Short lists of more entries than this in all are merged by counting in place of a heap: the same result.
+HEAP_ENTRIES = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -212,77 +211,70 @@ class Occurrences:
         self.item, self.at = np.unique(value, return_index=True)
         self.stop = np.append(self.at[1:], len(value))
 
-    def needed(self, a: int, b: int) -> int:
+    def needed(self, a, b):
         """The overlap with which sets of these sizes link."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def search(self, k: int) -> list[int]:
-        """Later sets that link with set ``k``."""
+    def search(self, k: int, skip: np.ndarray | None = None) -> list[int]:
+        """Later sets that link with set ``k``, leaving out those that ``skip`` marks."""
         mine = self.sets[k]
         n = len(mine)
         least = self.needed(n, n)
         lists = np.searchsorted(self.item, mine)
         at, stop = self.at[lists], self.stop[lists]
-        order = np.argsort(at - stop, kind="stable")  # longest first
-        longest = int(stop[order[0]] - at[order[0]])
-        if longest == 1:
+        shared = stop - at > 1
+        at, stop = at[shared], stop[shared]
+        if len(at) < least:
             return []
+        order = np.argsort(at - stop, kind="stable")  # longest first
+        at, stop = at[order], stop[order]
         # DivideSkip: the more and the longer the lists, the more of them are only probed.
-        aside = min(least - 1, int(least / (0.01 * math.log2(longest) + 1)))
-        short, long = order[aside:], order[:aside]
-        found = self._merge([self.owner[at[j] : stop[j]] for j in short], k, least - aside)
-        out = []
-        for other, count in found:
-            need = self.needed(n, int(self.sizes[other]))
-            left = len(long)
-            for j in long[::-1]:
-                if count + left < need or count >= need:
-                    break
-                left -= 1
-                where = bisect_left(self.owner, other, int(at[j]), int(stop[j]))
-                count += where < stop[j] and int(self.owner[where]) == other
-            if count >= need:
-                out.append(other)
-        return out
-
-    @staticmethod
-    def _merge(lists: list[np.ndarray], k: int, least: int) -> list[tuple[int, int]]:
-        """(set, how many of the lists hold it) of the sets after ``k`` that reach ``least``."""
-        if sum(map(len, lists)) > HEAP_ENTRIES:
-            number, count = np.unique(np.concatenate(lists), return_counts=True)
-            take = (count >= least) & (number > k)
-            return list(zip(number[take].tolist(), count[take].tolist()))
-        out, last, count = [], -1, 0
-        for x in heapq.merge(*[x.tolist() for x in lists if x[-1] > k]):
+        aside = min(least - 1, int(least / (math.log2(int(stop[0] - at[0])) + 1)))
+        found, count = self._merge(at[aside:], stop[aside:], least - aside)
+        later = found > k if skip is None else (found > k) & ~skip[found]
+        found, count = found[later], count[later]
+        need = self.needed(n, self.sizes[found])
+        for j in range(aside - 1, -1, -1):
+            alive = count + (j + 1) >= need
+            found, count, need = found[alive], count[alive], need[alive]
+            if not len(found):
+                break
+            long = self.owner[at[j] : stop[j]]
+            where = np.minimum(np.searchsorted(long, found), len(long) - 1)
+            count = count + (long[where] == found)
+        return found[count >= need].tolist()
+
+    def _merge(self, at: np.ndarray, stop: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that stand in at least ``least`` of the lists, and in how many."""
+        sizes = stop - at
+        total = int(sizes.sum())
+        if total > HEAP_ENTRIES:
+            entries = self.owner[np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(total)]
+            counts = np.bincount(entries)
+            found = np.flatnonzero(counts >= least)
+            return found, counts[found]
+        found, counts, last, count = [], [], -1, 0
+        for x in [*heapq.merge(*[self.owner[a:b].tolist() for a, b in zip(at, stop)]), -1]:
             if x == last:
                 count += 1
                 continue
-            if count >= least and last > k:
-                out.append((last, count))
+            if count >= least:
+                found.append(last)
+                counts.append(count)
             last, count = x, 1
-        if count >= least and last > k:
-            out.append((last, count))
-        return out
+        return np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between the sets that connect all that link: at most one fewer than there are sets."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     index = Occurrences([sets[k] for k in order], percent)
-    parent = list(range(len(sets)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    part = np.arange(len(sets))
     out = []
     for k in range(len(sets)):
-        for other in index.search(k):
-            a, b = root(k), root(other)
-            if a != b:
-                parent[b] = a
+        for other in index.search(k, part == part[k]):
+            if part[k] != part[other]:
+                part[part == part[other]] = part[k]
                 out.append((order[k], order[other]))
     return out
 
