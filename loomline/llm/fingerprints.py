@@ -16,6 +16,8 @@ texts, also if both are empty; 0 if one is empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +31,16 @@ BROADCAST_BUCKETS = 1_000_000
 _LOW = 0xFFFFFF
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def against(step: int) -> Callable[[Column], Column]:
+    """Each entry or the one ``step`` further on, whichever is smaller."""
+    return lambda v: F.zip_with(v, F.slice(v, step + 1, F.greatest(F.size(v) - step, F.lit(0))), lambda a, b: F.least(a, b))
+
+
 def winnow(tokens: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Chosen (hash, position) numbers of the tokens, by position."""
 
@@ -42,15 +54,13 @@ def winnow(tokens: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         low, span = placed, 1
         while span < window:
             step = min(span, window - span)
-            low = F.zip_with(low, F.slice(low, step + 1, F.greatest(F.size(low) - step, F.lit(0))), lambda a, b: F.least(a, b))
+            low = let(low, against(step))
             span += step
         windows = F.greatest(last + 2 - window, F.lit(1))
         return F.array_distinct(F.slice(low, 1, windows))
 
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    # One-element wrapping binds the hashes once, however often they are read.
-    bound = F.flatten(F.transform(F.array(hashes), chosen))
-    return F.when(F.size(tokens) > 0, bound).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(tokens) > 0, let(hashes, chosen)).otherwise(F.array().cast("array<long>"))
 
 
 def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
