@@ -14,6 +14,8 @@ are of distinct owners, so copies within an owner change nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,13 +116,17 @@ def listed(spans: Column, base_only: bool) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _ranked(rank: int) -> Callable[[Column], Column]:
+    return lambda s: s["rank"] == rank
+
+
 def digest(clean: DataFrame, found: DataFrame) -> DataFrame:
     """One row per document: counts per kind, the hash of the base spans, all spans, live and example counts."""
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     none = F.lit(0).cast("long")
     columns = ["n_assign", "n_access", "n_hex"]
     hits = found.select(
-        "doc_id", *[count(lambda s, k=k: s["rank"] == k).alias(c) for k, c in enumerate(columns)],
+        "doc_id", *[count(_ranked(k)).alias(c) for k, c in enumerate(columns)],
         F.sha2(listed(F.col("spans"), True), 256).alias("base_sha256"), listed(F.col("spans"), False).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_example"),
     )
