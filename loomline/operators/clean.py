@@ -34,6 +34,12 @@ def recode(df: DataFrame, changes: Mapping[str, Mapping[object, object]]) -> Dat
     return df
 
 
+def mode_value(df: DataFrame, column: str) -> object:
+    """:func:`mode_of` as a value, to be used on another frame; None if there is none."""
+    row = df.select(mode_of(df, column).alias("m")).first()
+    return None if row is None else row["m"]
+
+
 def mode_of(df: DataFrame, column: str) -> Column:
     """The most frequent non-null value as a scalar subquery; the lowest value wins ties.
 
@@ -57,18 +63,19 @@ def null_sentinel(
     columns: str | Sequence[str],
     sentinel: object = None,
     scope: str = "column",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Turn a sentinel into NULL. Without ``sentinel`` the column's maximum is the sentinel.
 
     ``scope='column'`` changes the column itself; ``scope='frame'`` removes the value
-    from every numeric column of the frame.
+    from every numeric column of the frame except ``keep`` (ids and labels).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     if scope not in ("column", "frame"):
         raise ValueError(f"scope must be 'column' or 'frame', not {scope!r}")
     if scope == "frame" and len(columns) != 1:
         raise ValueError("scope='frame' takes exactly one column")
-    changed = numeric_columns(df) if scope == "frame" else columns
+    changed = [c for c in numeric_columns(df) if c not in keep] if scope == "frame" else columns
     source = {c: columns[0] if scope == "frame" else c for c in changed}
     if sentinel is not None:
         return df.withColumns({c: F.when(F.col(c) != sentinel, F.col(c)) for c in changed})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.columns import string_columns, unique_names
 
-# A category column becomes one output column per value, so a vocabulary must stay
+# A category column becomes one output column per value, so its vocabulary must stay
 # far below what one row can hold. Above this bound fitting fails; nothing is dropped.
 MAX_VOCABULARY = 5000
 
@@ -26,9 +26,10 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None, limit: i
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     distinct = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
-    rows = distinct.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct categories in {columns}")
+    rows = distinct.limit(limit * len(columns) + 1).collect()
+    for c in columns:
+        if len(rows) > limit * len(columns) or sum(r["c"] == c for r in rows) > limit:
+            raise ValueError(f"more than {limit} distinct categories in a column of {columns}")
     return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in columns}
 
 

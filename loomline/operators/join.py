@@ -1,8 +1,9 @@
 """Left joins that never multiply or lose rows, and keep column names apart.
 
-No broadcast hints: the right-hand sides here are rollups whose size follows the
-data. AQE turns a join into a broadcast once the measured size allows it, and
-otherwise splits a skewed left side.
+Rollups, whose size follows the data, are joined without hints: AQE turns the join into
+a broadcast once the measured size allows it, and otherwise splits a skewed left side.
+Small statistics are written first and counted, and broadcast only below a bound, so that
+the rows they are attached to are not shuffled by a key with few values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.sources.tables import cut_lineage
+
+# Statistics of at most so many rows (keys) are broadcast; more are joined by a shuffle.
+SMALL_ROWS = 100_000
+
 
 def as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -38,13 +44,19 @@ def join_suffix(
     return left.join(right, on, how)
 
 
+def attach(df: DataFrame, stats: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join one row of ``stats`` per key to every row: by broadcast where their number is checked to be small."""
+    fixed = cut_lineage(stats)
+    return df.join(F.broadcast(fixed) if fixed.count() <= SMALL_ROWS else fixed, as_list(on), how)
+
+
 def lookup(df: DataFrame, by: str, stat: DataFrame, alias: str) -> DataFrame:
     """Attach a per-category value; categories without one get NULL.
 
     ``stat`` has the category column ``by`` and one value column.
     """
     value = next(c for c in stat.columns if c != by)
-    return df.join(stat.select(by, F.col(value).alias(alias)), by, "left")
+    return attach(df, stat.select(by, F.col(value).alias(alias)), by)
 
 
 def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:

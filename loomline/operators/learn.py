@@ -36,17 +36,38 @@ ESTIMATORS = {
 # ---------------------------------------------------------------- splits and weights
 
 
+# One constant per class goes into an expression. More classes than this raise.
+MAX_CLASSES = 1_000
+
+
+def at_most(per_class: DataFrame, limit: int = MAX_CLASSES) -> list:
+    """The rows, one per class, on the driver."""
+    rows = per_class.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} classes")
+    return rows
+
+
+def by_class(label: str, values: Mapping[object, Column], dtype: str) -> Column:
+    """The value of a row's class, NULL for classes without one."""
+    out = F.lit(None).cast(dtype)
+    for key, value in values.items():
+        out = F.when(F.col(label) == F.lit(key), value).otherwise(out)
+    return out
+
+
 def id_hash(id_col: str, seed: int | str) -> Column:
     """A repeatable random-looking order of ids."""
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"_{seed}")))
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float = 0.2, seed: int = 0) -> DataFrame:
-    """Add ``split``: 'cv' for exactly ``fraction`` of each class (rounded), else 'train'.
+    """Add ``split``: 'cv' for exactly ``fraction`` of each class (rounded), else 'train'; NULL without a label.
 
     Only the hash value at the cut has to be found. Rows are counted per class and
     hash prefix, one prefix bucket per class is sorted, and the cut is then compared
-    with every row: the table itself is never sorted or shuffled.
+    with every row as a constant of its class: the table itself is neither sorted nor
+    shuffled. Labels have at most ``MAX_CLASSES`` values.
     """
     hashed = known_keys(df, [label]).select(F.col(label), id_hash(id_col, seed).alias("_h"))
     hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
@@ -61,17 +82,13 @@ def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float = 0
     )
     at_cut = edges.filter((F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_here")))
     rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))
-    cuts = (
-        hashed.join(at_cut, [label, "_b"])
-        .withColumn("_r", rank)
-        .filter(F.col("_r") == F.col("_cut") - F.col("_before"))
-        .select(label, F.col("_h").alias("_last"))
-    )
-    return (
-        df.join(cuts, label, "left")
-        .withColumn("split", F.when(id_hash(id_col, seed) <= F.col("_last"), "cv").otherwise("train"))
-        .drop("_last")
-    )
+    wanted = at_most(at_cut.select(label, "_b", (F.col("_cut") - F.col("_before")).alias("_nth")))
+    nth = by_class(label, {r[label]: F.when(F.col("_b") == r["_b"], F.lit(r["_nth"])) for r in wanted}, "long")
+    ranked = hashed.withColumn("_nth", nth).filter("_nth IS NOT NULL").withColumn("_r", rank)
+    cuts = at_most(ranked.filter("_r = _nth").select(label, "_h"))
+    last = by_class(label, {r[label]: F.lit(r["_h"]) for r in cuts}, "string")
+    known = F.when(F.col(label).isNotNull(), "train")
+    return df.withColumn("split", F.when(id_hash(id_col, seed) <= last, "cv").otherwise(known))
 
 
 def assign_folds(df: DataFrame, id_col: str, folds: int = 5, seed: int = 0) -> DataFrame:
@@ -91,7 +108,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def balanced_weight(df: DataFrame, label: str, alias: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(alias)), label, "left")
+    weights = {r[label]: F.lit(r["weight"]) for r in at_most(class_weights(df, label).select(label, "weight"))}
+    return df.withColumn(alias, by_class(label, weights, "double"))
 
 
 def positive_weight(df: DataFrame, label: str, weight: float, alias: str = "weight") -> DataFrame:

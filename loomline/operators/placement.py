@@ -15,14 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.encode import quote
+from loomline.operators.join import SMALL_ROWS
+from loomline.sources.tables import cut_lineage
 
 # A key with more rows than this is not gathered in one task.
 HOT_ROWS = 2_000_000
-# Bounds of the frequent-items sketch: keys reported, and keys tracked per task. A key
-# it can miss holds well under a thousandth of all rows.
-HOT_KEYS = 1_000
-TRACKED = 4_096
 # Rows of one key a task must hold, on average, for combining in place to pay: about
 # how many times wider a rolled-up row is than the rows it came from.
 COMBINE_GAIN = 50
@@ -40,27 +37,31 @@ def together(
     ``fold(rows, gathered)`` is told whether each key's rows are together: then a key
     has a bounded number of them, and grouping or windowing by it moves nothing.
 
-    One narrow pass over ``probe`` (``df`` unless a cheaper frame has the same keys)
-    counts rows and keys and sketches the frequent keys. What it finds only chooses
-    the route: the result is the same whichever way a key goes.
+    A narrow pass over ``probe`` (``df`` unless a cheaper frame has the same keys) counts
+    rows and keys. If combining in place does not pay, rows are counted per key, exactly
+    and map-side first, and every key over ``hot_rows`` takes the combining way; there are
+    at most rows / ``hot_rows`` of them. Both counts only choose the route: the result is
+    the same whichever way a key goes.
     """
+    known = (df if probe is None else probe).filter(F.col(key).isNotNull())
     seen = (
-        (df if probe is None else probe)
-        .filter(F.col(key).isNotNull())
-        .select(key, F.spark_partition_id().alias("_task"))
+        known.select(key, F.spark_partition_id().alias("_task"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.approx_count_distinct(key).alias("keys"),
             F.approx_count_distinct("_task").alias("tasks"),
-            F.expr(f"approx_top_k({quote(key)}, {HOT_KEYS}, {TRACKED})").alias("top"),
         )
         .first()
     )
-    busy = seen["tasks"] >= df.sparkSession.sparkContext.defaultParallelism
-    if busy and seen["n"] >= COMBINE_GAIN * seen["keys"] * seen["tasks"]:
+    if seen["n"] >= COMBINE_GAIN * seen["keys"] * seen["tasks"]:
         return fold(df, False)
-    hot = [r["item"] for r in seen["top"] if r["count"] > hot_rows]
-    if not hot:
+    if seen["n"] <= hot_rows:
         return fold(df.repartition(key), True)
-    is_hot = F.col(key).isin(hot)
-    return fold(df.filter(~is_hot).repartition(key), True).unionByName(fold(df.filter(is_hot), False))
+    sizes = known.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.filter(F.col("_n") > hot_rows).select("_hot"))
+    n_hot = hot.count()
+    if not n_hot:
+        return fold(df.repartition(key), True)
+    flags = F.broadcast(hot) if n_hot <= SMALL_ROWS else hot
+    same = F.col(key) == F.col("_hot")
+    return fold(df.join(flags, same, "left_anti").repartition(key), True).unionByName(fold(df.join(flags, same, "left_semi"), False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.expr import round_half_even
-from loomline.operators.join import as_list
+from loomline.operators.join import as_list, attach
 from loomline.operators.ranks import percentiles
 from loomline.operators.rollup import known_keys, roll
 
@@ -197,7 +197,7 @@ def box_summary(df: DataFrame, column: str, by: str | Sequence[str]) -> DataFram
     x, reach = F.col(column).cast("double"), (F.col("q3") - F.col("q1")) * F.lit(1.5)
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
-        known.join(quartiles, by)
+        attach(known, quartiles, by, "inner")
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -25,6 +25,8 @@ BUCKET = "_bucket"
 ACCURACY = 10_000
 SLACK = 2 / ACCURACY
 # Up to this many rows a group is ranked whole: the slack would be under four ranks wide.
+# Sketches of at most so many numbers in all are broadcast.
+SKETCH_VALUES = 1_000_000
 SMALL_GROUP = int(4 / SLACK)
 
 
@@ -118,9 +120,11 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float], by: str | Se
     )
     if by:
         sketch = cut_lineage(sketch)
-        sizes = sketch.agg(F.min("_n_all").alias("least"), F.max("_n_all").alias("most")).first()
+        sizes = sketch.agg(F.min("_n_all").alias("least"), F.max("_n_all").alias("most"), F.count(F.lit(1)).alias("groups")).first()
         least, most = sizes["least"] or 0, sizes["most"] or 0
-        attach = lambda keep: known.join(sketch.filter(keep), by)
+        # Few groups: their sketches go to the rows, and no row is shuffled by its group.
+        small = sizes["groups"] * len(asks) <= SKETCH_VALUES
+        attach = lambda keep: known.join(F.broadcast(sketch.filter(keep)) if small else sketch.filter(keep), by)
     else:
         only = sketch.first()
         least = most = only["_n_all"]

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
+from loomline.operators.join import SMALL_ROWS
 from loomline.operators.ranks import group_median
+from loomline.sources.tables import cut_lineage
 
 ID = "SK_ID_CURR"
 LABEL = "TARGET"
@@ -37,15 +39,26 @@ INCOME_MEDIANS = {
 KEPT_DOCUMENT = "FLAG_DOCUMENT_3"
 
 
-def clean_application(df: DataFrame, employed_sentinel: float | None = None) -> DataFrame:
+def fit_cleaning(df: DataFrame) -> dict[str, object]:
+    """What cleaning takes from the training part: the employment outlier and the commonest family size."""
+    return {
+        "employed_sentinel": df.agg(F.max("DAYS_EMPLOYED")).first()[0],
+        "family_members": clean.mode_value(df, "CNT_FAM_MEMBERS"),
+    }
+
+
+def clean_application(df: DataFrame, employed_sentinel: float | None = None, family_members: object = None) -> DataFrame:
     """Fill, recode and remove the employment outlier (the column maximum by default).
 
-    The outlier is removed once, from every numeric column. Text fills apply to text
-    columns; a flag that is numeric keeps its NULLs.
+    The outlier is removed once, from every numeric column but the id and the label. Text
+    fills apply to text columns; a flag that is numeric keeps its NULLs.
     """
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-    df = clean.fill_mode(df, ["CNT_FAM_MEMBERS"])
-    df = clean.null_sentinel(df, "DAYS_EMPLOYED", employed_sentinel, scope="frame")
+    if family_members is None:
+        df = clean.fill_mode(df, ["CNT_FAM_MEMBERS"])
+    else:
+        df = clean.fill(df, {"CNT_FAM_MEMBERS": family_members})
+    df = clean.null_sentinel(df, "DAYS_EMPLOYED", employed_sentinel, scope="frame", keep=[ID, LABEL])
     df = clean.fill(
         df,
         {
@@ -60,23 +73,18 @@ def clean_application(df: DataFrame, employed_sentinel: float | None = None) ->
 def income_medians(df: DataFrame, columns: Sequence[str] = tuple(INCOME_MEDIANS)) -> dict[str, DataFrame]:
     """Exact median income per category of each column, fitted in one job.
 
-    The result has one row per category, is checked against the vocabulary bound and
-    kept as a local table, so joining it never shuffles the applicants.
+    The result has one row per category and is written before it is used; a column with few
+    categories is joined by broadcast, so that the applicants are not shuffled.
     """
     long = df.select(
         F.inline(
             F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_cat"), "AMT_INCOME_TOTAL") for c in columns])
         )
     )
-    rows = group_median(long, ["_col", "_cat"], "AMT_INCOME_TOTAL", "_median").limit(encode.MAX_VOCABULARY + 1).collect()
-    if len(rows) > encode.MAX_VOCABULARY:
-        raise ValueError(f"more than {encode.MAX_VOCABULARY} categories in {list(columns)}")
-    return {
-        c: df.sparkSession.createDataFrame(
-            sorted((r["_cat"], r["_median"]) for r in rows if r["_col"] == c), f"`{c}` string, median double"
-        )
-        for c in columns
-    }
+    fixed = cut_lineage(group_median(long, ["_col", "_cat"], "AMT_INCOME_TOTAL", "_median"))
+    sizes = dict(fixed.groupBy("_col").count().collect())
+    parts = {c: fixed.filter(F.col("_col") == c).select(F.col("_cat").alias(c), F.col("_median").alias("median")) for c in columns}
+    return {c: F.broadcast(p) if sizes.get(c, 0) <= SMALL_ROWS else p for c, p in parts.items()}
 
 
 def application_row_features(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from loomline.operators import encode
 from loomline.operators.columns import drop_repeated_columns
 from loomline.operators.join import join_suffix, union_by_name
-from loomline.plans.application import ID, application_features, clean_application
+from loomline.plans.application import ID, application_features, clean_application, fit_cleaning, income_medians
 from loomline.plans.bureau import bureau_rollup
 from loomline.plans.cards import card_lookback
 from loomline.plans.instalments import instalment_lookback
@@ -46,12 +46,13 @@ def rollups(tables: Tables, folder: str | None = None, columns: Columns = None)
 
 
 def applicants(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
-    """Cleaned and encoded applicants; the vocabulary comes from train, the rest from each part."""
-    train = clean_application(train)
-    vocabulary = encode.fit_vocabulary(train)
-    out = application_features(train, vocabulary)
+    """Cleaned and encoded applicants; vocabulary, outlier, mode and medians are fitted on train."""
+    fitted = fit_cleaning(train)
+    train = clean_application(train, **fitted)
+    vocabulary, medians = encode.fit_vocabulary(train), income_medians(train)
+    out = application_features(train, vocabulary, medians)
     if test is not None:
-        out = union_by_name(out, application_features(clean_application(test), vocabulary))
+        out = union_by_name(out, application_features(clean_application(test, **fitted), vocabulary, medians))
     return out
 
 

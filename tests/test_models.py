@@ -80,8 +80,8 @@ def test_stratified_split_is_exact(spark):
     df = spark.range(1000).selectExpr("id", "CASE WHEN id < 333 THEN 1 WHEN id < 998 THEN 0 END AS y")
     out = L.stratified_split(df, "id", "y", 0.2, seed=1)
     n = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
-    # 66.6 and 133 rounded; rows without a label stay in train.
-    assert n == {(1, "cv"): 67, (1, "train"): 266, (0, "cv"): 133, (0, "train"): 532, (None, "train"): 2}
+    # 66.6 and 133 rounded; rows without a label are in no part.
+    assert n == {(1, "cv"): 67, (1, "train"): 266, (0, "cv"): 133, (0, "train"): 532, (None, None): 2}
     again = L.stratified_split(df.repartition(5), "id", "y", 0.2, seed=1)
     assert rows(again, "id") == rows(out, "id")
 
