@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from loomline.operators import evaluate as E
 from loomline.operators import learn as L
 from loomline.operators.columns import numeric_columns, without
-from loomline.sources.tables import cut_lineage
+from loomline.sources.tables import written
 
 # Columns that identify rows and must never become features.
 ID_COLUMNS = ["TARGET", "SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV", "index"]
@@ -32,12 +32,12 @@ def prepare(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """(train, cv, selected columns): split by class, keep the top k by F, scale on train, weigh."""
     split = L.stratified_split(matrix.select(id_col, label, *columns), id_col, label, fraction, seed)
-    split = cut_lineage(split)
+    split = written(split)
     train = split.filter("split = 'train'")
     top = L.selected(L.anova_topk(train, columns, label, k))
     scaled = L.standardise(train, split.select(id_col, label, "split", *top), top)
     # Every training iteration reads the table again, so it starts from files.
-    weighed = cut_lineage(L.balanced_weight(scaled, label))
+    weighed = written(L.balanced_weight(scaled, label))
     return weighed.filter("split = 'train'"), weighed.filter("split = 'cv'"), top
 
 
@@ -60,6 +60,7 @@ def score_applicants(
 
     The score is the mean over the fold models; one applicant is a filter on the result.
     """
-    weighted = L.positive_weight(matrix.select(id_col, label, *columns), label, POSITIVE_WEIGHT)
+    # Every fold reads the table again, so it starts from files.
+    weighted = written(L.positive_weight(matrix.select(id_col, label, *columns), label, POSITIVE_WEIGHT))
     result = L.out_of_fold("boosted", weighted, id_col, columns, label, "weight", folds, **params)
     return E.score_label(result.predict(weighted, id_col), "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,23 +54,34 @@ def materialise(df: DataFrame, path: str, mode: str = "ignore") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     A machine-local folder is used only when Spark itself runs on this machine and the
     setting is absent.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="loomline-checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, for narrow frames that are read whole."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Parquet in the shared folder, for wide frames: later steps read only the columns they need."""
+    return materialise(df, f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
 def rows_for_key(spark: SparkSession, path: str, key: str, value: int) -> DataFrame:
     """The rows of one key: a typed literal that reaches the parquet scan as a pushed filter."""
     df = spark.read.parquet(path)
