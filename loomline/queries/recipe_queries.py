@@ -35,10 +35,11 @@ def _columns(name: str) -> list[str]:
 NUMERIC = [c for d in ("bigint", "int", "double") for c in SCHEMAS["application"][d].split()]
 
 
-def _clean_application_cte() -> str:
-    employed = "(SELECT max(DAYS_EMPLOYED) FROM application)"
+def _clean_application_cte(fitted_on: str = "TRUE") -> str:
+    """Cleaned applicants; outlier and mode come from the rows where ``fitted_on`` holds."""
+    employed = f"(SELECT max(DAYS_EMPLOYED) FROM application WHERE {fitted_on})"
     mode = (
-        "(SELECT CNT_FAM_MEMBERS FROM application WHERE CNT_FAM_MEMBERS IS NOT NULL GROUP BY 1 "
+        f"(SELECT CNT_FAM_MEMBERS FROM application WHERE CNT_FAM_MEMBERS IS NOT NULL AND {fitted_on} GROUP BY 1 "
         "ORDER BY count(*) DESC, 1 LIMIT 1)"
     )
     exprs = {c: c for c in _columns("application")}
@@ -76,7 +77,7 @@ APPLICATION_VOCABULARY = {
 }
 
 
-def _application_features_sql() -> str:
+def _application_features_sql(fitted_on: str = "TRUE", vocabulary=APPLICATION_VOCABULARY) -> str:
     ratios = {
         "CREDIT_INCOME_PERCENT": _div("AMT_CREDIT", "AMT_INCOME_TOTAL"),
         "ANNUITY_INCOME_PERCENT": _div("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
@@ -96,10 +97,11 @@ def _application_features_sql() -> str:
         "PHONE_CHANGE_EMP_PERCENT": _div("DAYS_LAST_PHONE_CHANGE", "DAYS_EMPLOYED"),
         "PHONE_CHANGE_BIRTH_PERCENT": _div("DAYS_LAST_PHONE_CHANGE", "DAYS_BIRTH"),
     }
-    medians = {a: f"median(AMT_INCOME_TOTAL) OVER (PARTITION BY {c})" for c, a in A.INCOME_MEDIANS.items()}
+    income = f"CASE WHEN {fitted_on} THEN AMT_INCOME_TOTAL END"
+    medians = {a: f"median({income}) OVER (PARTITION BY {c})" for c, a in A.INCOME_MEDIANS.items()}
     kinds = {f"{k}_TYPE_INCOME_PERCENT": _div(f"MEDIAN_INCOME_{k}_TYPE", "AMT_INCOME_TOTAL") for k in ("ORG", "OCCU", "EDU")}
     flags = [
-        f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in APPLICATION_VOCABULARY.items() for v in vs
+        f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in vocabulary.items() for v in vs
     ]
     # Rounding drops the sign of a zero in Spark; adding zero does so in DuckDB.
     kept = [c for c in NUMERIC if c not in DOCUMENT_FLAGS or c == A.KEPT_DOCUMENT]
@@ -107,15 +109,37 @@ def _application_features_sql() -> str:
     all_columns = ", ".join(
         [*kept, *[f"round({c}, 9) + 0 AS {c}" for c in ratios], *medians, *[f"round({e}, 9) AS {c}" for c, e in kinds.items()], *flags]
     )
-    return f"WITH {_clean_application_cte()}, f AS (SELECT *, {one} FROM cleaned) SELECT {all_columns} FROM f"
+    return f"WITH {_clean_application_cte(fitted_on)}, f AS (SELECT *, {one} FROM cleaned) SELECT {all_columns} FROM f"
+
+
+def _new_doubles(df) -> list[str]:
+    """Fractional columns that the application recipe adds, but for exact medians."""
+    return [f.name for f in df.schema if f.dataType.simpleString() == "double" and f.name not in NUMERIC and not f.name.startswith("MEDIAN_")]
 
 
 @query("application_features", _application_features_sql())
 def application_features(spark, folder):
     out = A.application_features(A.clean_application(frame(spark, folder, "application")))
-    new = [c for c in out.columns if c not in NUMERIC and not c.startswith("MEDIAN_") and c.split("_")[0] != "FLAG"]
-    doubles = [f.name for f in out.schema if f.dataType.simpleString() == "double" and f.name in new]
-    return rounded(out, 9, *doubles)
+    return rounded(out, 9, *_new_doubles(out))
+
+
+TRAIN_PART = "WEEKDAY_APPR_PROCESS_START = 'FRIDAY'"
+# Monday's applicants are those of one segment, so two more columns have a value that only they have.
+TRAIN_VOCABULARY = {c: [v for v in vs if v not in ("MONDAY", "BUILDING")] for c, vs in APPLICATION_VOCABULARY.items()}
+
+
+@query(
+    "train_test_prepare",
+    f"""
+    SELECT * REPLACE (CASE WHEN WEEKDAY_APPR_PROCESS_START_FRIDAY = 1 THEN TARGET END AS TARGET)
+    FROM ({_application_features_sql(TRAIN_PART, TRAIN_VOCABULARY)})
+    """,
+)
+def train_test_prepare(spark, folder):
+    """Monday's applicants are the unlabelled part: all that is fitted comes from the others."""
+    df = frame(spark, folder, "application")
+    out = M.applicants(df.filter(TRAIN_PART), df.filter(f"NOT ({TRAIN_PART})").drop("TARGET"))
+    return rounded(out, 9, *_new_doubles(out))
 
 
 # ---------------------------------------------------------------- external credits
@@ -442,10 +466,24 @@ def feature_matrix(spark, folder):
     )
 
 
-@query("feature_matrix_full")
+@query(
+    "feature_matrix_full",
+    f"""
+    SELECT * FROM ({_application_features_sql()}) LEFT JOIN ({_bureau_rollup_sql()}) USING ({ID})
+    LEFT JOIN ({_previous_sql(DAY_WINDOWS)}) USING ({ID}) LEFT JOIN ({_pos_sql(MONTH_WINDOWS)}) USING ({ID})
+    LEFT JOIN ({_instalment_sql(DAY_WINDOWS)}) USING ({ID}) LEFT JOIN ({_card_sql(MONTH_WINDOWS)}) USING ({ID})
+    """,
+)
 def feature_matrix_full(spark, folder):
-    """The whole matrix. Its parts are compared one by one above; here all of it is joined."""
-    return M.feature_matrix(frames(spark, folder))
+    """Every column of every recipe, joined to every applicant."""
+    out = M.feature_matrix(frames(spark, folder))
+    base = out.columns.index(next(c for c in out.columns if c.startswith("BUREAU_")))
+    doubles = [f.name for f in out.schema if f.dataType.simpleString() == "double"]
+    places = {c: 9 for c in _new_doubles(out.select(*out.columns[:base]))}
+    places |= {c: 6 for c in doubles if c.startswith(("BUREAU_", "C_", *POS_LOAN_COLUMNS))}
+    places |= {c: 6 for c in doubles if "MEAN" in c and any(r in c for r in RATIO_PLACES)}
+    places |= {c: 6 for c in doubles if c.startswith("CR_") and any(h in c for h in ("_MEAN", "_SUM", "_VAR"))}
+    return out.selectExpr(*[f"round(`{c}`, {places[c]}) AS `{c}`" if c in places else f"`{c}`" for c in out.columns])
 
 
 @query("score_applicants")

@@ -9,7 +9,7 @@ from loomline.queries.catalogue import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 # Minutes of DuckDB time each; run them with tools/check.py.
-SLOW = {"previous_lookback"}
+SLOW = {"previous_lookback", "feature_matrix_full"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
 
