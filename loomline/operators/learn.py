@@ -197,11 +197,17 @@ def fit(
     weight: str | None = None,
     **params: object,
 ) -> PipelineModel:
-    """Fit one classifier on named columns."""
+    """Fit one classifier on named columns.
+
+    With ``validationIndicatorCol`` among ``params`` a booster adds trees only while they help
+    on the rows where that boolean column is true, and is not trained on them.
+    """
+    held = params.get("validationIndicatorCol")
     clean = df.filter(F.col(label).isNotNull()).select(
         *[nan_to_num(c).alias(c) for c in columns],
         F.col(label).cast("double").alias(label),
         *([weight] if weight else []),
+        *([held] if held else []),
     )
     return _stages(kind, columns, label, weight, **params).fit(clean)
 
@@ -366,12 +372,18 @@ def out_of_fold(
     weight: str | None = None,
     folds: int = 5,
     seed: int = 0,
+    stop_early: bool = False,
     **params: object,
 ) -> OutOfFold:
+    """Train on all folds but one, in turn. ``stop_early`` lets the fold left out end a booster's rounds."""
     folded = assign_folds(df.filter(F.col(label).isNotNull()), id_col, folds, seed)
     models, held, seen = [], None, None
     for i in range(folds):
-        model = fit(kind, folded.filter(F.col("fold") != i), columns, label, weight, **params)
+        if stop_early:
+            marked = folded.withColumn("_held", F.col("fold") == i)
+            model = fit(kind, marked, columns, label, weight, validationIndicatorCol="_held", **params)
+        else:
+            model = fit(kind, folded.filter(F.col("fold") != i), columns, label, weight, **params)
         scored = score(model, folded.withColumn("_held", F.col("fold") == i).withColumn("fold", F.lit(i)))
         keep = [id_col, label, "fold", "score"]
         h, s = scored.filter("_held").select(*keep), scored.filter("NOT _held").select(*keep)

@@ -172,8 +172,11 @@ def _bracketed(rows: DataFrame, points: Sequence[float], by: Sequence[str]) -> D
         F.max(F.when(holds(F.floor(position)), F.col("_v"))).alias("_low"),
         F.max(F.when(holds(F.ceil(position)), F.col("_v"))).alias("_high"),
     )
-    step = F.col("_high") - F.col("_low")
-    return found.select(*by, point.alias("point"), (F.col("_low") + step * (position - F.floor(position))).alias("value"))
+    # A rank outside its bracket would be a fault of the sketch: it must not pass as a NULL.
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    low_value, high_value = F.coalesce("_low", missed), F.coalesce("_high", missed)
+    value = low_value + (high_value - low_value) * (position - F.floor(position))
+    return found.select(*by, point.alias("point"), value.alias("value"))
 
 
 def group_median(df: DataFrame, by: str | Sequence[str], value: str, alias: str) -> DataFrame:

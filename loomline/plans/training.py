@@ -54,13 +54,19 @@ def compare_models(
 
 
 def score_applicants(
-    matrix: DataFrame, id_col: str, label: str, columns: Sequence[str], folds: int = 5, **params: object
-) -> DataFrame:
+    matrix: DataFrame, id_col: str, label: str, columns: Sequence[str], folds: int = 5, fitted_threshold: bool = False,
+    stop_early: bool = False, **params: object,
+) -> DataFrame:
     """(id, score, score_rounded, predicted, message) for every row, labelled or not.
 
-    The score is the mean over the fold models; one applicant is a filter on the result.
+    The score is the mean over the fold models; one applicant is a filter on the result. The
+    threshold is the service's constant or, fitted, the mean over folds of the best one on the
+    rows that a fold's model was trained on. ``stop_early``: see :func:`out_of_fold`.
     """
     # Every fold reads the table again, so it starts from files.
     weighted = written(L.positive_weight(matrix.select(id_col, label, *columns), label, POSITIVE_WEIGHT))
-    result = L.out_of_fold("boosted", weighted, id_col, columns, label, "weight", folds, **params)
-    return E.score_label(result.predict(weighted, id_col), "score")
+    result = L.out_of_fold("boosted", weighted, id_col, columns, label, "weight", folds, stop_early=stop_early, **params)
+    threshold = E.SERVICE_THRESHOLD
+    if fitted_threshold:
+        threshold = E.mean_threshold(result.trained_on, label, "score", "fold").first()["threshold"]
+    return E.score_label(result.predict(weighted, id_col), "score", threshold)

@@ -23,7 +23,7 @@ SCORED_SQL = "SELECT " + ", ".join(
 ) + " FROM customer"
 
 
-def _scored(spark, folder):
+def scored(spark, folder):
     exprs = [f"{e.replace('/ 256', '/ 256.0D')} AS {c}" for c, e in SCORED_COLUMNS.items()]
     return table(spark, folder, "customer").selectExpr(*exprs)
 
@@ -106,7 +106,7 @@ ROC_SQL = f"""
 
 @query("roc_curve", ROC_SQL + "SELECT threshold, tpr, fpr FROM r")
 def roc_curve(spark, folder):
-    return E.roc(_scored(spark, folder), "label", "score")
+    return E.roc(scored(spark, folder), "label", "score")
 
 
 @query(
@@ -116,7 +116,7 @@ def roc_curve(spark, folder):
     "FROM (SELECT *, sum(n) OVER () AS t FROM r)",
 )
 def auc(spark, folder):
-    return E.auc(_scored(spark, folder), "label", "score")
+    return E.auc(scored(spark, folder), "label", "score")
 
 
 def _best_sql(grade: str) -> str:
@@ -127,12 +127,12 @@ def _best_sql(grade: str) -> str:
 
 @query("threshold_product", _best_sql("tpr * (1.0::DOUBLE - fpr)"))
 def threshold_product(spark, folder):
-    return rounded(E.best_threshold(_scored(spark, folder), "label", "score", "product"), 9, "grade")
+    return rounded(E.best_threshold(scored(spark, folder), "label", "score", "product"), 9, "grade")
 
 
 @query("threshold_youden", _best_sql("tpr - fpr"))
 def threshold_youden(spark, folder):
-    return rounded(E.best_threshold(_scored(spark, folder), "label", "score", "youden"), 9, "grade")
+    return rounded(E.best_threshold(scored(spark, folder), "label", "score", "youden"), 9, "grade")
 
 
 @query(
@@ -149,7 +149,7 @@ def threshold_youden(spark, folder):
     """,
 )
 def threshold_fold_mean(spark, folder):
-    return rounded(E.mean_threshold(_scored(spark, folder), "label", "score", "fold"), 9)
+    return rounded(E.mean_threshold(scored(spark, folder), "label", "score", "fold"), 9)
 
 
 @query(
@@ -162,12 +162,12 @@ def threshold_fold_mean(spark, folder):
     """,
 )
 def confusion(spark, folder):
-    return E.confusion(_scored(spark, folder), "label", "predicted")
+    return E.confusion(scored(spark, folder), "label", "predicted")
 
 
 @query("accuracy", f"SELECT avg(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS accuracy FROM ({SCORED_SQL})")
 def accuracy(spark, folder):
-    return E.accuracy(_scored(spark, folder), "label", "predicted")
+    return E.accuracy(scored(spark, folder), "label", "predicted")
 
 
 @query(
@@ -181,7 +181,7 @@ def accuracy(spark, folder):
     """,
 )
 def score_label(spark, folder):
-    return E.score_label(_scored(spark, folder).select("id", "score"), "score", places=2)
+    return E.score_label(scored(spark, folder).select("id", "score"), "score", places=2)
 
 
 # ------------------------------------------------------------------ fitted models (no SQL)

@@ -7,6 +7,7 @@ from helpers import by_key, rows
 
 from loomline.operators import evaluate as E
 from loomline.operators import learn as L
+from loomline.plans.training import POSITIVE_WEIGHT, score_applicants
 from loomline.sources import tables as S
 
 FEATURES = ["x0", "x1", "noise"]
@@ -171,3 +172,20 @@ def test_compare(scored):
     _, df = scored
     table = E.compare({"a": E.auc(df, "y", "s"), "b": E.auc(df, "y", "p")})
     assert [r["model"] for r in table.orderBy("auc", ascending=False).collect()] == ["a", "b"]
+
+
+def test_early_stopping_ends_the_rounds(planted):
+    params = {"maxIter": 40, "maxDepth": 4, "seed": 1}
+    found = L.out_of_fold("boosted", planted, "id", FEATURES, "y", folds=2, stop_early=True, **params)
+    assert all(m.stages[1].getNumTrees < 40 for m in found.models)
+    assert found.held_out.count() == 600 and found.trained_on.count() == 600
+    assert min(r["auc"] for r in found.fold_auc("y").collect()) > 0.7
+
+
+def test_fitted_threshold_is_the_fold_mean(planted):
+    params = {"maxIter": 3, "maxDepth": 2}
+    out = score_applicants(planted, "id", "y", FEATURES, folds=2, fitted_threshold=True, **params)
+    weighted = L.positive_weight(planted, "y", POSITIVE_WEIGHT)
+    found = L.out_of_fold("boosted", weighted, "id", FEATURES, "y", "weight", 2, **params)
+    cut = E.mean_threshold(found.trained_on, "y", "score", "fold").first()["threshold"]
+    assert all(r["predicted"] == (r["score_rounded"] > cut) for r in out.collect())
