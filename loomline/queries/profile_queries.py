@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.operators import profile as P
+from loomline.plans.report import profile
 from loomline.queries.registry import query, rounded
 from loomline.sources.tables import table
 
@@ -256,3 +257,54 @@ def class_means(spark, folder):
     return _customers(spark, folder).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("c_nationkey").alias("mean_nation")
     )
+
+
+@query("pair_points", f"SELECT c_acctbal, c_nationkey, label FROM ({CUSTOMER_SQL})")
+def pair_points(spark, folder):
+    """The scatter extract with whole strata; smaller fractions are its sampling."""
+    return P.pair_points(_customers(spark, folder), "c_acctbal", "c_nationkey", "label", {0: 1.0, 1: 1.0})
+
+
+# Per part of the report: the column that names a line, and the number that is compared.
+REPORT_PARTS = {
+    "overview": ("'rows'", "n_rows"),
+    "null_counts": ("column_name", "nulls"),
+    "class_balance": ("label", "n"),
+    "value_counts:c_nationkey": ("c_nationkey", "n"),
+    "default_profile:c_nationkey": ("c_nationkey", "positives"),
+    "flag_share": ("column_name", "percent_1"),
+    "global_range": ("column_name", "highest"),
+    "box_summary:c_acctbal": ("label", "median"),
+    "token_counts:c_mktsegment": ("token", "n"),
+}
+REPORT_COLUMNS = ["c_nationkey", "c_acctbal", "c_mktsegment", "label"]
+_REPORT_SQL = {
+    "overview": "SELECT 'rows' AS item, count(*) AS number FROM c",
+    "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS item, count(*) - count({c}) AS number FROM c" for c in REPORT_COLUMNS),
+    "class_balance": "SELECT label AS item, count(*) AS number FROM c GROUP BY 1",
+    "value_counts:c_nationkey": "SELECT c_nationkey AS item, count(*) AS number FROM c GROUP BY 1",
+    "default_profile:c_nationkey": "SELECT c_nationkey AS item, sum(label) AS number FROM c GROUP BY 1",
+    "flag_share": "SELECT 'label' AS item, 100.0::DOUBLE - round_even(count(*) FILTER (WHERE label = 0) * 100.0::DOUBLE / count(*), 2) AS number FROM c",
+    "global_range": "SELECT 'c_acctbal' AS item, max(c_acctbal) AS number FROM c",
+    "box_summary:c_acctbal": "SELECT label AS item, quantile_cont(c_acctbal, 0.5) AS number FROM c GROUP BY 1",
+    "token_counts:c_mktsegment": "SELECT c_mktsegment AS item, count(*) AS number FROM c GROUP BY 1",
+}
+
+
+@query(
+    "profile_report",
+    f"WITH c AS (SELECT {', '.join(REPORT_COLUMNS)} FROM ({CUSTOMER_SQL})) "
+    + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, CAST(item AS VARCHAR) AS item, round(CAST(number AS DOUBLE), 2) AS number FROM ({sql})"
+        for part, sql in _REPORT_SQL.items()
+    ),
+)
+def profile_report(spark, folder):
+    """The report's tables, one number of each line; every kind is compared in full by its own query."""
+    spec = {"categories": ["c_nationkey"], "flags": ["label"], "measures": ["c_acctbal"], "tokens": ["c_mktsegment"]}
+    report = profile(_customers(spark, folder).select(*REPORT_COLUMNS), "label", spec)
+    out = None
+    for part, (item, number) in REPORT_PARTS.items():
+        lines = report[part].selectExpr(f"'{part}' AS part", f"CAST({item} AS STRING) AS item", f"round(CAST({number} AS DOUBLE), 2) AS number")
+        out = lines if out is None else out.unionByName(lines)
+    return out
