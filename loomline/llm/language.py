@@ -5,9 +5,11 @@ each phrase is the longest match with the language's text that starts where the
 ended. The language that needs the fewest phrases wins, each phrase costed at the logarithm of
 the length of the language's text (so languages with less labelled text are not favoured).
 
-Texts are lower-cased; every run of characters that are no letters counts as one space. Whole
-texts are parsed, in blocks of ``BLOCK`` characters at whose ends phrases end too, in every
-language alike, so that all blocks of a batch advance together in numpy.
+Texts are lower-cased; every run of characters that are no letters counts as one space. The symbols
+are the bytes of the UTF-8 that is left, so the alphabet stays small in every script; a byte that a
+language's sample lacks is a phrase of its own. Whole texts are parsed, in blocks of ``BLOCK`` bytes
+at whose ends phrases end too, in every language alike, so that all blocks of a batch advance
+together in numpy. The automata take at most about 2 * 4 * 257 bytes for each byte of the samples.
 
 Labelled text is a bounded sample, the same at every input size: per language the first
 ``train_chars`` characters of labelled documents in the order of a hash. A text that is null
@@ -19,6 +21,7 @@ columns of these names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 TRAIN_CHARS = 30_000
 TRAIN_ROWS = 64
 BLOCK = 1024
-BATCH_CHARS = 1 << 21
+BATCH_BYTES = 1 << 21
 RESULTS = ["lang_pred", "score", "bits_per_char"]
 UNKNOWN = "und"
 
@@ -73,35 +76,41 @@ def plain(text: str | None) -> str:
 
 
 class Parser:
-    """Automata of all languages in one table: an entry is (next row << 1) | 1 if a phrase starts there."""
+    """Automata of all languages in one table: an entry is (next row << 1) | 1 if a phrase starts there.
+
+    The root is where a text starts and where a byte leads that the sample lacks: what follows is a new phrase.
+    """
 
     def __init__(self, training: dict[str, str]):
-        samples = {k: " ".join(plain(v).split()) for k, v in training.items()}
+        samples = {k: " ".join(plain(v).split()).encode() for k, v in training.items()}
         self.languages = sorted(k for k, v in samples.items() if v)
-        letters = sorted({c for v in samples.values() for c in v} | {" "})
-        # Symbol 0 stands for letters that no language has: it matches nothing.
-        self.symbols = {c: i + 1 for i, c in enumerate(letters)}
-        self.width = len(letters) + 1
-        parts, base, self.roots, self.costs = [], 0, [], []
-        for name in self.languages:
-            table = suffix_automaton([self.symbols[c] for c in samples[name]], self.width)
+        # Symbol 0 stands for bytes that no language has: it matches nothing.
+        used = sorted({c for v in samples.values() for c in v})
+        self.symbols = np.zeros(256, dtype=np.int32)
+        self.symbols[used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        automata = [suffix_automaton(self.symbols[list(samples[k])].tolist(), width) for k in self.languages]
+        self.costs = [float(np.log2(len(samples[k]) + 1)) for k in self.languages]
+        bases = np.cumsum([0, *(len(a) for a in automata)])
+        size = np.int32 if int(bases[-1]) * width * 2 < 1 << 31 else np.int64
+        self.roots = (bases[:-1] * width).astype(size)
+        parts = []
+        for table, base in zip(automata, bases):
+            starts = table < 0
+            starts[0] = True
             restart = np.where(table[0] >= 0, table[0], 0)[None, :]
             to = np.where(table >= 0, table, restart).astype(np.int64) + base
-            parts.append(((to * self.width) << 1 | (table < 0)).astype(np.int32))
-            self.roots.append(base * self.width)
-            self.costs.append(float(np.log2(len(samples[name]) + 1)))
-            base += len(table)
-        self.table = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, dtype=np.int32)
-
-    def codes(self, text: str) -> tuple[np.ndarray, int]:
-        """Symbols of a text, runs of other characters as one space; and its number of letters."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        kinds = _kinds(self.symbols)[points]
-        letters = kinds != _SPACE
+            parts.append(((to * width) << 1 | starts).astype(size))
+        self.table = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, dtype=size)
+
+    def codes(self, text: str) -> tuple[np.ndarray, int, int]:
+        """Symbols of a text, runs of other characters as one space; its number of letters, and of characters left."""
+        points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+        letters = _letters()[points]
         keep = letters | np.concatenate(([True], letters[:-1]))
-        out = kinds[keep]
-        out[out == _SPACE] = self.symbols[" "]
-        return out, int(letters.sum())
+        left = np.where(letters, points, 32)[keep].astype(np.uint32)
+        found = np.frombuffer(left.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+        return self.symbols[found], int(letters.sum()), len(left)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each text: [language, text]."""
@@ -118,8 +127,8 @@ class Parser:
         grid = np.zeros((BLOCK, len(blocks)), dtype=np.int32)
         for col, j in enumerate(order):
             grid[: sizes[col], col] = blocks[j]
-        counts = np.ones((len(self.languages), len(blocks)), dtype=np.int32)
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(blocks), axis=1)
+        counts = np.zeros((len(self.languages), len(blocks)), dtype=np.int32)
+        state = np.repeat(self.roots[:, None], len(blocks), axis=1)
         active = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")
         for t in range(int(sizes[0])):
             n = int(active[t])
@@ -132,20 +141,10 @@ class Parser:
         return out
 
 
-_SPACE = 65535
-_KINDS: dict[int, np.ndarray] = {}
-
-
-def _kinds(symbols: dict[str, int]) -> np.ndarray:
-    """Code point to symbol: 0 for letters outside all samples, _SPACE for what is no letter."""
-    if id(symbols) not in _KINDS:
-        table = np.array([0 if chr(c).isalpha() else _SPACE for c in range(0x110000)], dtype=np.uint16)
-        for c, s in symbols.items():
-            if c != " ":
-                table[ord(c)] = s
-        _KINDS.clear()
-        _KINDS[id(symbols)] = table
-    return _KINDS[id(symbols)]
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def learn(
@@ -180,7 +179,7 @@ def _label(shared, at: int, keep: list[int]) -> Callable:
                 text = batch.column(at)[j].as_py()
                 texts.append(parser.codes(text or ""))
                 total += len(texts[-1][0])
-                if total >= BATCH_CHARS or j == batch.num_rows - 1:
+                if total >= BATCH_BYTES or j == batch.num_rows - 1:
                     for best, score, cost in _decide(parser, texts):
                         names.append(best)
                         scores.append(score)
@@ -192,19 +191,19 @@ def _label(shared, at: int, keep: list[int]) -> Callable:
     return label
 
 
-def _decide(parser: Parser, texts: list[tuple[np.ndarray, int]]) -> Iterator[tuple[str, float, float | None]]:
+def _decide(parser: Parser, texts: list[tuple[np.ndarray, int, int]]) -> Iterator[tuple[str, float, float | None]]:
     if not parser.languages:
         yield from ((UNKNOWN, 0.0, None) for _ in texts)
         return
-    costs = parser.phrases([codes for codes, _ in texts]) * np.array(parser.costs)[:, None]
+    costs = parser.phrases([codes for codes, _, _ in texts]) * np.array(parser.costs)[:, None]
     order = np.argsort(costs, axis=0, kind="stable")
-    for i, (codes, letters) in enumerate(texts):
+    for i, (_, letters, chars) in enumerate(texts):
         if not letters:
             yield UNKNOWN, 0.0, None
             continue
         best = costs[order[0, i], i]
         score = 1.0 - best / costs[order[1, i], i] if len(order) > 1 else 1.0
-        yield parser.languages[order[0, i]], float(min(1.0, max(0.0, score))), float(best / len(codes))
+        yield parser.languages[order[0, i]], float(min(1.0, max(0.0, score))), float(best / chars)
 
 
 def identify(docs: DataFrame, training: dict[str, str], text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -99,16 +99,16 @@ def phrases(sample, text):
 
 def test_phrases_by_plain_search():
     r = random.Random(1)
-    training = {k: "".join(r.choice(letters) for _ in range(400)) for k, letters in (("a", "abc d"), ("b", "abce "), ("c", "xyz"))}
+    alphabets = (("a", "abc d"), ("b", "abce "), ("c", "xyz"), ("d", "éaß 中文字"))
+    training = {k: "".join(r.choice(letters) for _ in range(400)) for k, letters in alphabets}
     parser = language.Parser(training)
-    samples = {k: " ".join(language.plain(v).split()) for k, v in training.items()}
+    samples = {k: " ".join(language.plain(v).split()).encode() for k, v in training.items()}
     for n in (0, 1, 50, 1023, 1024, 1025, 3000):
-        text = " ".join("".join(r.choice("abcdeq ") for _ in range(n)).split())
-        got = parser.phrases([parser.codes(text)[0]])[:, 0]
-        for k, name in enumerate(parser.languages):
-            want = phrases(samples[name], text)
-            # A phrase of a letter that the language lacks ends at once, as does the next one's start.
-            assert abs(got[k] - want) <= text.count("q") + text.count("e") + text.count("d") + text.count("a") * (name == "c") + 3 * n * (name == "c")
+        text = " ".join("".join(r.choice("abcdeqéß中龍 ") for _ in range(n)).split())
+        codes, letters, chars = parser.codes(text)
+        assert (letters, chars) == (sum(c.isalpha() for c in text), len(text))
+        got = parser.phrases([codes])[:, 0]
+        assert list(got) == [phrases(samples[k], text.encode()) for k in parser.languages]
 
 
 def test_language_without_letters(docs):
