@@ -8,8 +8,9 @@ Each round tries ``TRIES`` exponents in one aggregate over the table of sources.
 A source's budget is its weight times the token budget. It is drawn in passes: whole passes over
 the source, then a part of one. A source is cut into blocks of about ``block_tokens`` by a hash of
 the document; each pass visits the blocks, and the documents of a block, in a new order made from a
-hash of the pass. The last pass stops in the block where the budget ends. So the only running sums are
-over the table of blocks and within one block, however large a source is.
+hash of the pass. The last pass stops in the block where the budget ends. The running sums over the
+blocks of a source go by about as many ranges of their order as a range has blocks, first over the
+ranges and then within each; so no task sorts all blocks of a source, or all rows of it.
 
 Tokens are words between white space. A null or empty text has no tokens and is not drawn; nor is
 anything where there are no tokens at all. A null source is a source of its own. Equal rows are
@@ -101,6 +102,20 @@ def weights(sources: DataFrame, exponent: float, budget: int | None, block_token
     )
 
 
+def what_is_left(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (_source, block, size, rest, blocks, _order) with ``left``: the rest when the block's turn comes."""
+    # Ranges of the 64-bit order by its upper 31 bits: about the root of the number of blocks.
+    ranges = F.ceil(F.sqrt(F.col("blocks")))
+    upper = F.shiftright("_order", 33) + F.lit(1 << 30)
+    sizes = sizes.withColumn("_range", F.floor(upper * ranges / F.lit(float(1 << 31))).cast("long"))
+    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_range").orderBy("_order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sizes.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
+    totals = totals.select("_source", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_past"))
+    before = F.col("_past") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    return sizes.join(totals, ["_source", "_range"]).withColumn("left", F.col("rest") - before)
+
+
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", entropy: float | None = None,
     entropy_ratio: float | None = None, repetitions: float | None = None, budget: int | None = None,
@@ -128,11 +143,9 @@ def mix(
     placed = rows.filter("n_tokens > 0").join(table, "_source")
     placed = placed.withColumn("block", F.pmod(token(F.col("_key")), F.col("blocks")))
     # What the last pass takes: whole blocks while they fit, then documents of the block where it ends.
-    sizes = placed.filter("rest > 0").groupBy("_source", "block").agg(F.sum("n_tokens").alias("size"), F.max("rest").alias("rest"), F.max("whole").alias("whole"))
-    order = token(F.col("_source"), F.col("whole"), F.col("block"))
-    run = Window.partitionBy("_source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(run), F.lit(0))
-    ends = sizes.select("_source", "block", (F.col("rest") - before).alias("left")).filter("left > 0")
+    sizes = placed.filter("rest > 0").groupBy("_source", "block").agg(F.sum("n_tokens").alias("size"), *[F.max(c).alias(c) for c in ("rest", "whole", "blocks")])
+    sizes = sizes.withColumn("_order", token(F.col("_source"), F.col("whole"), F.col("block")))
+    ends = what_is_left(sizes).select("_source", "block", "left").filter("left > 0")
     inner = Window.partitionBy("_source", "block").orderBy("_order", "_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         placed.filter("rest > 0").join(ends, ["_source", "block"])

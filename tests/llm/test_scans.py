@@ -70,7 +70,9 @@ def test_contamination(docs, spark, slice_bytes):
         if t == "lost  words":
             want = (2, 2, 0, want[3], True)
         assert tuple(got[i])[1:] == want, t
-    (chars,) = [r.hit_chars for r in found.collect() if r.doc_id == 3]
+    again = {r.doc_id: r for r in found.collect()}
+    assert again[0]["items"] == [] and all(r.text == TEXTS[i] for i, r in again.items())
+    chars = again[3].hit_chars
     assert [TEXTS[3][c.start : c.end] for c in chars] == ["short é item! short, é. item"]
 
 
@@ -145,6 +147,20 @@ def test_budgets_are_met(docs):
     assert len(by) == 4
 
 
+def test_rest_runs_over_the_blocks_in_order(spark):
+    r = random.Random(4)
+    rows = [(s, b, r.randint(1, 99), 4000, n, r.randint(-(2**63), 2**63 - 1)) for s, n in (("a", 1), ("b", 300), ("c", 2)) for b in range(n)]
+    rows += [("d", b, 5, 30, 9, (-(2**63), 2**63 - 1, 0)[b % 3]) for b in range(9)]
+    frame = spark.createDataFrame(rows, "_source string, block long, size long, rest long, blocks long, _order long")
+    got = {(x._source, x.block): x.left for x in mixing.what_is_left(frame).collect()}
+    want = {}
+    for source in "abcd":
+        mine = sorted((x for x in rows if x[0] == source), key=lambda x: (x[5], x[1]))
+        for k, x in enumerate(mine):
+            want[x[0], x[1]] = x[3] - sum(y[2] for y in mine[:k])
+    assert got == want
+
+
 def test_mixing_of_the_given_table(spark):
     docs = table(spark, FOLDER, "documents")
     totals = {}
