@@ -18,7 +18,9 @@ from loomline.operators.join import as_list
 from loomline.operators.rollup import known_keys
 from loomline.sources.tables import cut_lineage
 
-BUCKETS = 1024
+# Running totals go by buckets of about BUCKET_ROWS rows; the sketch can tell MAX_BUCKETS apart.
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 8192
 BUCKET = "_bucket"
 
 # The sketch places a value within 1/ACCURACY of its rank; brackets allow twice that.
@@ -33,15 +35,25 @@ SMALL_GROUP = int(4 / SLACK)
 # ---------------------------------------------------------------- running totals
 
 
-def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Approximate quantiles of a column over all keys, from a bounded sketch.
 
-    ``buckets - 1`` doubles on the driver. A bucket then holds about 1/``buckets`` of
-    the rows, however values and keys are distributed. Being literals in the plan,
-    the cuts are the same for every use and every retry of a task.
+    At most ``MAX_BUCKETS - 1`` doubles on the driver; their number follows the rows unless
+    ``buckets`` is given. A bucket then holds about 1/``buckets`` of the rows, however
+    values and keys are distributed. Being literals in the plan, the cuts are the same
+    for every use and every retry of a task.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(F.col(value).cast("double"), points, ACCURACY).alias("q")).first()["q"] or []
+    finest = buckets or MAX_BUCKETS
+    points = [i / finest for i in range(1, finest)]
+    if not points:
+        return []
+    sketch = F.percentile_approx(F.col(value).cast("double"), points, ACCURACY).alias("q")
+    found = df.agg(sketch, F.count(F.lit(1)).alias("n")).first()
+    # The finest cuts are thinned to every 2nd, 4th, ... so that a bucket is worth a task.
+    step = 1
+    while buckets is None and step < finest and found["n"] * step < BUCKET_ROWS * finest:
+        step *= 2
+    return (found["q"] or [])[step - 1 :: step]
 
 
 def bucket_of(value: str, cuts: Sequence[float]) -> Column:
@@ -66,7 +78,7 @@ def running_totals(
     amounts: Sequence[str],
     by: str | Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``{a}_running`` (up to and with the row) and ``{a}_all`` for each amount.
 
@@ -77,7 +89,7 @@ def running_totals(
     by = as_list(by)
     # One shuffle on (by, bucket) serves the totals, the join and the window.
     bucketed = counts.withColumn(BUCKET, bucket_of(order, cut_points(counts, order, buckets))).repartition(*by, BUCKET)
-    # At most ``buckets`` rows per key reach the two windows over the totals.
+    # At most one row for each bucket and key reaches the two windows over the totals.
     whole = Window.partitionBy(*by)
     before = whole.orderBy(F.desc(BUCKET) if descending else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(a).alias(f"{a}_here") for a in amounts])

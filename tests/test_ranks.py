@@ -65,3 +65,13 @@ def test_buckets_are_balanced_and_ordered(spark):
     assert len(sizes) == 64 and max(sizes) <= 3 * min(sizes)
     ordered = [r["b"] for r in out.orderBy("v").collect()]
     assert ordered == sorted(ordered)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 1999).cast("double").alias("v"), F.lit(1).alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
+    assert ranks.cut_points(rows, "v") == []
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 100)
+    cuts = ranks.cut_points(rows, "v")
+    assert 8 <= len(cuts) + 1 <= 1999 / 100 and cuts == sorted(cuts)
+    got = [r.n_running for r in running_totals(rows, "v", ["n"]).orderBy("v").collect()]
+    assert got[-1] == 4000 and all(b > a for a, b in zip(got, got[1:]))
