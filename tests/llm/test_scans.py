@@ -209,3 +209,18 @@ def test_licences_and_inheritance(docs, spark):
     got = {r.doc_id: (r.licence, r.own_licence, r.inherited_from) for r in licences.scan(df).collect()}
     assert got[1][0] == "MIT" and got[2] == ("MIT", None, "a") and got[3][0] == "Apache-2.0" and got[4] == (None, None, None)
     assert got[5] == (None, None, None) and got[6][0] == "GPL-3.0" and got[7] == ("GPL-3.0", None, "a/b/x") and got[8][0] is None and got[9] == ("MIT", None, "a")
+
+
+def test_a_notice_scores_alike_in_every_corpus(spark):
+    notices = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed by the house under rules of its own": None,
+    }
+    seen = []
+    for times in (1, 100, 10_000):
+        filler = spark.range(times).selectExpr("-1 - id AS doc_id", "concat('t/', id, '.txt') AS path", "concat('copyright ', id, '\\n', 'public domain') AS text")
+        fixed = spark.createDataFrame([(k, f"d{k}/x.txt", t) for k, t in enumerate(notices)], "doc_id long, path string, text string")
+        got = licences.scan(fixed.unionByName(filler)).filter("doc_id >= 0").orderBy("doc_id").collect()
+        assert [r.own_licence for r in got] == list(notices.values())
+        seen.append([r.score for r in got])
+    assert seen[0] == seen[1] == seen[2]
