@@ -308,11 +308,15 @@ def _cells(pairs: DataFrame, cell: int) -> DataFrame:
 
 def link_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    block_bytes: int = BLOCK_BYTES, cell: int = CELL,
+    block_bytes: int = BLOCK_BYTES, cell: int = CELL, row: str | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id; with ``row`` (a column of longs) also it and ``component``,
+    a number of its own for each component, also where ids are null or repeated (null for an empty set)."""
     blocks = count_blocks(docs, text, block_bytes)
-    lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = [] if row is None else [row]
+    lean = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).cast("long").alias(c) for c in own]
+    )
     parts = in_blocks(lean, ["doc_id"], ["text"], blocks)
     block, shard = F.col("block"), F.col("shard")
     sent = parts.groupBy(block).applyInArrow(_parts(shingle, percent, blocks), "shard int, block int, low binary, sign binary")
@@ -325,10 +329,11 @@ def link_components(
     )
     links = sets.groupBy(shard).applyInArrow(_link(percent), "u long, v long")
     named = components(links)
-    signs = stash(lean.mapInArrow(_signs(shingle, 1), "doc_id long, n_shingles long, sign long"))
+    signs = stash(lean.mapInArrow(_signs(shingle, 1), ", ".join(f"{c} long" for c in ["doc_id", *own, "n_shingles", "sign"])))
     classes = signs.filter("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("least"))
     placed = classes.join(named, classes["sign"] == named["node"], "left").select("sign", "least", F.coalesce("component", "sign").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(least, "component").select("sign", "component_id")
+    number = [] if row is None else ["component"]
+    known = placed.join(least, "component").select("sign", "component_id", *number)
     out = signs.join(known, "sign", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *own, *number)

@@ -47,3 +47,15 @@ def test_a_text_without_letters_is_rejected(spark, docs):
     out = pipeline.language_stage(spark, frame, FOLDER)
     learned = language.learn(frame.filter(~language.held_out()))
     assert {r.doc_id for r in out.collect()} == ({3, 4} if learned else set())
+
+
+def test_one_row_of_a_component_stays(spark, docs):
+    one, two, three = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    near = two + " more"
+    frame = docs(
+        (1, one), (1, one), (None, one), (5, two), (3, near), (5, three), (None, "no id has this text"), (None, "no id has this text"),
+        (7, None), (7, None), (None, ""), (9, "alone with this one"),
+    )
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_copy_stage(spark, frame, FOLDER).collect()), key=repr)
+    want = [(1, one), (3, near), (5, three), (None, "no id has this text"), (7, None), (7, None), (None, ""), (9, "alone with this one")]
+    assert got == sorted(want, key=repr)
