@@ -34,6 +34,8 @@ TRAIN_CHARS = 30_000
 TRAIN_ROWS = 64
 BLOCK = 1024
 BATCH_BYTES = 1 << 21
+#: Texts of fewer letters are too short for a verdict by their bits per character.
+JUDGED_LETTERS = 40
 RESULTS = ["lang_pred", "score", "bits_per_char"]
 UNKNOWN = "und"
 
@@ -147,11 +149,8 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def learn(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    train_chars: int = TRAIN_CHARS, train_rows: int = TRAIN_ROWS,
-) -> dict[str, str]:
-    """Language to its labelled text: at most ``train_rows`` rows and ``train_chars`` characters each."""
+def _sample(labelled: DataFrame, text: str, lang: str, key: str, chars: int, train_rows: int) -> dict[str, list[str]]:
+    """Language to the first ``chars`` characters of at most ``train_rows`` labelled rows, in the order of a hash."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count(F.lit(1))).collect()}
     if not sizes:
@@ -162,11 +161,41 @@ def learn(
         if n > 4 * train_rows:
             share = F.when(F.col(lang) == name, F.lit(4 * train_rows / n)).otherwise(share)
     picked = known.filter(F.pmod(order, F.lit(1 << 32)) < share * float(1 << 32))
-    rows = picked.select(F.col(lang).alias("l"), F.substring(text, 1, train_chars).alias("t"), order.alias("o")).collect()
-    out: dict[str, str] = {}
-    for name in sorted(sizes):
-        texts = [r.t for r in sorted((r for r in rows if r.l == name), key=lambda r: (r.o, r.t))][:train_rows]
-        out[name] = " ".join(texts)[:train_chars]
+    rows = picked.select(F.col(lang).alias("l"), F.substring(text, 1, chars).alias("t"), order.alias("o")).collect()
+    return {name: [r.t for r in sorted((r for r in rows if r.l == name), key=lambda r: (r.o, r.t))][:train_rows] for name in sorted(sizes)}
+
+
+def learn(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+    train_chars: int = TRAIN_CHARS, train_rows: int = TRAIN_ROWS,
+) -> dict[str, str]:
+    """Language to its labelled text: at most ``train_rows`` rows and ``train_chars`` characters each."""
+    found = _sample(labelled, text, lang, key, train_chars, train_rows)
+    return {name: " ".join(texts)[:train_chars] for name, texts in found.items()}
+
+
+def learn_bounds(
+    labelled: DataFrame, training: dict[str, str], text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS
+) -> dict[str, float]:
+    """Language to the bits per character above which a text is in no language, from labelled texts not learned from.
+
+    It is what the cheapest twentieth of these texts cost with their characters shuffled; texts of several languages
+    stay below it. A language without such texts, or where all but the worst twentieth unshuffled are not below it,
+    has no bound.
+    """
+    sample = {k: [t for t in v if sum(c.isalpha() for c in t) >= JUDGED_LETTERS] for k, v in _sample(labelled, text, lang, key, BLOCK, rows).items()}
+    parser, rng, out = Parser(training), np.random.default_rng(17), {}
+    for k, name in enumerate(parser.languages):
+        cost = []
+        for mixed in (False, True):
+            texts = [t if not mixed else "".join(rng.permutation(list(t)).tolist()) for t in sample.get(name, [])]
+            found = [parser.codes(t) for t in texts]
+            chars = np.array([c for _, _, c in found])
+            cost.append(parser.phrases([codes for codes, _, _ in found])[k] * parser.costs[k] / chars if texts else np.zeros(0))
+        if len(cost[0]):
+            plain_cost, mixed_cost = float(np.quantile(cost[0], 0.95)), float(np.quantile(cost[1], 0.05))
+            if plain_cost < mixed_cost:
+                out[name] = mixed_cost
     return out
 
 

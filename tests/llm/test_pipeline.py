@@ -1,7 +1,12 @@
 """The pipeline stage by stage against plain versions, on the given small tables."""
 
+import base64
+import random
+import string
+
 import brute
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from loomline.llm import language
 from loomline.llm.scratch import stash
@@ -59,3 +64,16 @@ def test_one_row_of_a_component_stays(spark, docs):
     got = sorted(((r.doc_id, r.text) for r in pipeline.near_copy_stage(spark, frame, FOLDER).collect()), key=repr)
     want = [(1, one), (3, near), (5, three), (None, "no id has this text"), (7, None), (7, None), (None, ""), (9, "alone with this one")]
     assert got == sorted(want, key=repr)
+
+
+def test_language_stage_rejects_what_fits_no_language(spark):
+    given = table(spark, FOLDER, "documents").select(*pipeline.COLUMNS)
+    rows = {r.doc_id for r in given.collect() if any(c.isalpha() for c in r.text or "")}
+    rng = random.Random(1)
+    junk = [base64.b64encode(rng.randbytes(600)).decode(), "".join(rng.choices(string.ascii_lowercase + " ", k=600)), "12 !!", None, "ok"]
+    more = spark.createDataFrame([(-1 - k, t, None, "s", 0) for k, t in enumerate(junk)], given.schema)
+    kept = {r.doc_id for r in pipeline.language_stage(spark, given.unionByName(more), FOLDER).collect()}
+    assert kept == rows | {-5}
+    none = given.limit(20).unionByName(more).withColumn("lang", F.lit(None).cast("string"))
+    want = {r.doc_id for r in none.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in pipeline.language_stage(spark, none, FOLDER).collect()} == want
