@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import contamination, fingerprints, jaccard, language, licences, mixing, phrases, secrets, substrings, urls
+from loomline.llm import contamination, divergence, fingerprints, jaccard, language, licences, mixing, phrases, secrets, substrings, toxicity, urls
 from loomline.sources.tables import table
 
 #: The longest fitting rule decides; the method judges the rest.
@@ -65,6 +65,16 @@ def phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(phrases.dedup(table(spark, sf_dir, "documents")))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out())
+    model = toxicity.learn(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": languages,
     "op2_winnowing": winnowing,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing_draws,
     "op9_decontamination": decontamination,
     "op10_phrase_dedup": phrase_dedup,
+    "op11_source_divergence": source_divergence,
+    "op13_toxicity": toxic_texts,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,4 +146,38 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
-ORACLES = {"op4_jaccard_join": _JACCARD_SQL, "op9_decontamination": _CONTAMINATION_SQL, "op10_phrase_dedup": _PHRASE_SQL}
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(s.total, 0) AS total, coalesce(v.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source) s USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v)::HUGEINT AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1)::HUGEINT // (any_value(total) + any_value(v))::HUGEINT AS q
+  FROM cells JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM groups GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op11_source_divergence": _DIVERGENCE_SQL, "op4_jaccard_join": _JACCARD_SQL, "op9_decontamination": _CONTAMINATION_SQL, "op10_phrase_dedup": _PHRASE_SQL}
