@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import contamination, divergence, fingerprints, jaccard, language, licences, mixing, phrases, secrets, substrings, toxicity, urls
+from loomline.llm import contamination, conversations, divergence, fingerprints, jaccard, language, licences, mixing, phrases, secrets, substrings, toxicity, urls
 from loomline.sources.tables import table
 
 #: The longest fitting rule decides; the method judges the rest.
@@ -69,6 +69,10 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out())
     model = toxicity.learn(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination,
     "op10_phrase_dedup": phrase_dedup,
     "op11_source_divergence": source_divergence,
+    "op12_conversation_repair": conversation_repair,
     "op13_toxicity": toxic_texts,
 }
 
