@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.expr import nan_to_num
+from loomline.operators import boost
 from loomline.operators.evaluate import auc
 from loomline.operators.rollup import known_keys
 
@@ -31,6 +32,9 @@ ESTIMATORS = {
     "forest": RandomForestClassifier,
     "boosted": GBTClassifier,
 }
+#: The booster of :mod:`loomline.operators.boost`, on the same footing as the kinds above.
+NEWTON = "newton"
+Model = PipelineModel | boost.Booster
 
 
 # ---------------------------------------------------------------- splits and weights
@@ -196,13 +200,16 @@ def fit(
     label: str,
     weight: str | None = None,
     **params: object,
-) -> PipelineModel:
+) -> Model:
     """Fit one classifier on named columns.
 
     With ``validationIndicatorCol`` among ``params`` a booster adds trees only while they help
-    on the rows where that boolean column is true, and is not trained on them.
+    on the rows where that boolean column is true, and is not trained on them. NULLs are 0,
+    but to a ``newton`` booster they are missing.
     """
     held = params.get("validationIndicatorCol")
+    if kind == NEWTON:
+        return boost.fit(df, columns, label, weight, held=held, **{k: v for k, v in params.items() if k != "validationIndicatorCol"})
     clean = df.filter(F.col(label).isNotNull()).select(
         *[nan_to_num(c).alias(c) for c in columns],
         F.col(label).cast("double").alias(label),
@@ -219,8 +226,10 @@ def _stages(kind: str, columns: Sequence[str], label: str, weight: str | None, *
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), estimator])
 
 
-def score(model: PipelineModel, df: DataFrame, alias: str = "score") -> DataFrame:
+def score(model: Model, df: DataFrame, alias: str = "score") -> DataFrame:
     """Add the positive-class probability, or the margin for models without one."""
+    if isinstance(model, boost.Booster):
+        return boost.score(model, df, alias)
     columns = model.stages[0].getInputCols()
     output = "probability" if model.stages[1].hasParam("probabilityCol") else "rawPrediction"
     # The inputs are cleaned under other names, so the caller's columns stay as they were.
@@ -242,7 +251,9 @@ class Calibrated:
         return score(self.sigmoid, margin, alias).drop("_margin")
 
 
-def margins(model: PipelineModel, df: DataFrame, alias: str) -> DataFrame:
+def margins(model: Model, df: DataFrame, alias: str) -> DataFrame:
+    if isinstance(model, boost.Booster):
+        return boost.margins(model, df, alias)
     columns = model.stages[0].getInputCols()
     inputs = {f"_in{i}": nan_to_num(c) for i, c in enumerate(columns)}
     staged = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df.withColumns(inputs))
@@ -347,7 +358,7 @@ class OutOfFold:
 
     held_out: DataFrame  # id, label, fold, score
     trained_on: DataFrame  # id, label, fold (the fold left out), score
-    models: list[PipelineModel] = field(default_factory=list)
+    models: list[Model] = field(default_factory=list)
 
     def fold_auc(self, label: str) -> DataFrame:
         return auc(self.held_out, label, "score", "fold")
@@ -393,11 +404,13 @@ def out_of_fold(
     return OutOfFold(held, seen, models)
 
 
-def importance(models: PipelineModel | Sequence[PipelineModel], columns: Sequence[str], k: int | None = 25) -> DataFrame:
+def importance(models: Model | Sequence[Model], columns: Sequence[str], k: int | None = 25) -> DataFrame:
     """(column_name, importance), averaged over models, largest first."""
-    models = [models] if isinstance(models, PipelineModel) else list(models)
+    models = [models] if isinstance(models, Model) else list(models)
 
-    def weights(model: PipelineModel) -> list[float]:
+    def weights(model: Model) -> list[float]:
+        if isinstance(model, boost.Booster):
+            return model.gains()
         last = model.stages[1]
         if hasattr(last, "featureImportances"):
             return [float(x) for x in last.featureImportances.toArray()]

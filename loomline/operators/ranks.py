@@ -1,8 +1,9 @@
 """Running totals and exact order statistics that no single task has to sort.
 
-A window ordered over a whole table, or over one hot key, is one task's work. Here
-an approximate sketch first says where to look, and the exact answer is then found
-from counts plus a small part of the rows.
+A window ordered over a whole table, or over one hot key, is one task's work. Running
+totals go by sorted ranges and the totals of the ranges before. For order statistics an
+approximate sketch first says where to look, and the exact answer is then found from
+counts plus a small part of the rows.
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from pyspark.sql import functions as F
 
 from loomline.operators.join import as_list
 from loomline.operators.rollup import known_keys
-from loomline.sources.tables import cut_lineage
+from loomline.sources.tables import cut_lineage, written
 
-# Running totals go by buckets of about BUCKET_ROWS rows; the sketch can tell MAX_BUCKETS apart.
-BUCKET_ROWS = 100_000
-MAX_BUCKETS = 8192
-BUCKET = "_bucket"
+# Running totals go by sorted ranges of about this many rows.
+RANGE_ROWS = 200_000
+RANGE = "_range"
 
 # The sketch places a value within 1/ACCURACY of its rank; brackets allow twice that.
 ACCURACY = 10_000
@@ -35,78 +35,45 @@ SMALL_GROUP = int(4 / SLACK)
 # ---------------------------------------------------------------- running totals
 
 
-def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of a column over all keys, from a bounded sketch.
-
-    At most ``MAX_BUCKETS - 1`` doubles on the driver; their number follows the rows unless
-    ``buckets`` is given. A bucket then holds about 1/``buckets`` of the rows, however
-    values and keys are distributed. Being literals in the plan, the cuts are the same
-    for every use and every retry of a task.
-    """
-    finest = buckets or MAX_BUCKETS
-    points = [i / finest for i in range(1, finest)]
-    if not points:
-        return []
-    sketch = F.percentile_approx(F.col(value).cast("double"), points, ACCURACY).alias("q")
-    found = df.agg(sketch, F.count(F.lit(1)).alias("n")).first()
-    # The finest cuts are thinned to every 2nd, 4th, ... so that a bucket is worth a task.
-    step = 1
-    while buckets is None and step < finest and found["n"] * step < BUCKET_ROWS * finest:
-        step *= 2
-    return (found["q"] or [])[step - 1 :: step]
-
-
-def bucket_of(value: str, cuts: Sequence[float]) -> Column:
-    """How many cut points lie below the value, by binary search."""
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    # Padded to 2^k - 1 cuts, so that every probe of the search is inside the array.
-    bits = len(cuts).bit_length()
-    padded = F.lit([float(c) for c in cuts] + [float("inf")] * (2**bits - 1 - len(cuts)))
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda below, step: below + F.when(F.element_at(padded, below + step) < F.col(value), step).otherwise(0),
-    )
-
-
 def running_totals(
     counts: DataFrame,
     order: str,
     amounts: Sequence[str],
     by: str | Sequence[str] = (),
     descending: bool = False,
-    buckets: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add ``{a}_running`` (up to and with the row) and ``{a}_all`` for each amount.
 
-    ``counts`` has one row per (by, order) value: aggregate ties before calling. Values
-    are cut into buckets of about equal size; bucket totals are small and give each
-    bucket its starting offset, so the buckets are then summed independently.
+    ``counts`` has one row per (by, order) value: aggregate ties before calling. The rows are
+    written once, so that they are counted without being computed twice, and cut into sorted
+    ranges of about ``range_rows`` rows, a large key into many. Each range's totals give the
+    later ranges of its key their offset, and the ranges are then summed independently.
     """
-    by = as_list(by)
-    # One shuffle on (by, bucket) serves the totals, the join and the window.
-    bucketed = counts.withColumn(BUCKET, bucket_of(order, cut_points(counts, order, buckets))).repartition(*by, BUCKET)
-    # At most one row for each bucket and key reaches the two windows over the totals.
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy(F.desc(BUCKET) if descending else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(a).alias(f"{a}_here") for a in amounts])
-    offsets = totals.select(
-        *by,
-        BUCKET,
-        *[F.coalesce(F.sum(f"{a}_here").over(before), F.lit(0)).alias(f"{a}_before") for a in amounts],
-        *[F.sum(f"{a}_here").over(whole).alias(f"{a}_all") for a in amounts],
-    )
-    within = (
-        Window.partitionBy(*by, BUCKET)
-        .orderBy(F.desc(order) if descending else F.asc(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return bucketed.join(offsets, [*by, BUCKET]).select(
+    by, counts = as_list(by), written(counts)
+    ranges = max(1, -(-counts.count() // range_rows))
+    along = F.desc(order) if descending else F.asc(order)
+    ranged, offsets = counts.withColumn(RANGE, F.lit(0)), None
+    if ranges > 1:
+        ranged = written(counts.repartitionByRange(ranges, *by, along).withColumn(RANGE, F.spark_partition_id()))
+        # At most one row for each range and key reaches the two windows over the totals.
+        whole = Window.partitionBy(*by)
+        before = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = ranged.groupBy(*by, RANGE).agg(*[F.sum(a).alias(f"{a}_here") for a in amounts]).select(
+            *by,
+            RANGE,
+            *[F.coalesce(F.sum(f"{a}_here").over(before), F.lit(0)).alias(f"{a}_before") for a in amounts],
+            *[F.sum(f"{a}_here").over(whole).alias(f"{a}_all") for a in amounts],
+        )
+    here = Window.partitionBy(*by, RANGE)
+    upto = here.orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if offsets is None:
+        return ranged.select(
+            *counts.columns, *[F.sum(a).over(upto).alias(f"{a}_running") for a in amounts], *[F.sum(a).over(here).alias(f"{a}_all") for a in amounts]
+        )
+    return ranged.join(offsets, [*by, RANGE]).select(
         *counts.columns,
-        *[(F.col(f"{a}_before") + F.sum(a).over(within)).alias(f"{a}_running") for a in amounts],
+        *[(F.col(f"{a}_before") + F.sum(a).over(upto)).alias(f"{a}_running") for a in amounts],
         *[f"{a}_all" for a in amounts],
     )
 

@@ -45,11 +45,13 @@ def test_percentiles_nulls_and_empty(frame):
     assert percentiles(df.filter("v > 100"), "v", [0.5], "k").collect() == []
 
 
+@pytest.mark.parametrize("range_rows", [100_000, 300, 7])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals(spark, descending):
+def test_running_totals(spark, descending, range_rows):
+    """One range, a few, and more than there are rows of most keys."""
     pdf, df = skewed(spark, 6000)
     counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    got = running_totals(counts, "v", ["n"], "k", descending, buckets=16).toPandas().sort_values(["k", "v"])
+    got = running_totals(counts, "v", ["n"], "k", descending, range_rows).toPandas().sort_values(["k", "v"])
     want = pdf.groupby(["k", "v"]).size().rename("n").reset_index().sort_values(["k", "v"], ascending=[True, not descending])
     want["run"] = want.groupby("k")["n"].cumsum()
     want = want.sort_values(["k", "v"])
@@ -57,21 +59,11 @@ def test_running_totals(spark, descending):
     assert got["n_all"].tolist() == want.groupby("k")["n"].transform("sum").tolist()
 
 
-def test_buckets_are_balanced_and_ordered(spark):
-    df = spark.range(4096).select((F.col("id") ** 2).cast("double").alias("v"))
-    cuts = ranks.cut_points(df, "v", 64)
-    out = df.select("v", ranks.bucket_of("v", cuts).alias("b"))
-    sizes = [r["count"] for r in out.groupBy("b").count().collect()]
-    assert len(sizes) == 64 and max(sizes) <= 3 * min(sizes)
-    ordered = [r["b"] for r in out.orderBy("v").collect()]
-    assert ordered == sorted(ordered)
-
-
-def test_buckets_follow_the_rows(spark, monkeypatch):
-    rows = spark.range(4000).select((F.col("id") % 1999).cast("double").alias("v"), F.lit(1).alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
-    assert ranks.cut_points(rows, "v") == []
-    monkeypatch.setattr(ranks, "BUCKET_ROWS", 100)
-    cuts = ranks.cut_points(rows, "v")
-    assert 8 <= len(cuts) + 1 <= 1999 / 100 and cuts == sorted(cuts)
-    got = [r.n_running for r in running_totals(rows, "v", ["n"]).orderBy("v").collect()]
-    assert got[-1] == 4000 and all(b > a for a, b in zip(got, got[1:]))
+def test_one_key_is_summed_in_many_ranges(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 5).alias("n"))
+    got = running_totals(rows, "v", ["n"], range_rows=500)
+    windows = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in line and "_range" in line]
+    assert windows
+    assert got.agg(F.max("n_running"), F.max("n_all")).first() == (40_000, 40_000)
+    assert [r.n_running for r in got.orderBy("v").limit(6).collect()] == [0, 1, 3, 6, 10, 10]
+    assert running_totals(rows.filter("v < 0"), "v", ["n"]).collect() == []
