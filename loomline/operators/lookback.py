@@ -1,9 +1,11 @@
 """Nested look-back windows: one rollup per cut-off, computed in a single pass.
 
-Every row is tagged with the windows it falls in (all history, last year, ...),
-the rollup runs once with the tag as an extra key, and the tag is then spread to
-columns. The tagged copies never travel: rows are brought together by key first, and
-tagging, rolling up and spreading all happen there, without another shuffle.
+Aggregates that can be merged come from disjoint panes (:mod:`loomline.operators.panes`).
+For a rollup of several levels, or of values that differ by window, every row is tagged
+with the windows it falls in (all history, last year, ...), the rollup runs once with the
+tag as an extra key, and the tag is then spread to columns. The tagged copies never
+travel: rows are brought together by key first, and tagging, rolling up and spreading all
+happen there, without another shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.join import as_list
+from loomline.operators.panes import PANE, pane_rollup
 from loomline.operators.placement import together
-from loomline.operators.rollup import Exprs, known_keys, roll
+from loomline.operators.rollup import Agg, Exprs, known_keys, roll
 
 # {suffix: how far back, or None for the whole history}
 Windows = Mapping[str, int | None]
@@ -84,24 +87,37 @@ def lookback(
     columns: Collection[str] | None = None,
     rollup: Callable[[DataFrame, list[str], Exprs], list[DataFrame]] = lambda rows, keys, exprs: [roll(rows, keys, exprs)],
     prepare: Callable[[DataFrame, Windows, bool], DataFrame] = lambda rows, windows, gathered: rows,
+    tagged: Collection[str] = (),
+    features: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Run one rollup over every window and lay the results side by side.
 
     ``columns`` names the outputs wanted: aggregates and windows that none of them
-    needs are not computed. Keys outside every wanted window have no row. ``rollup``
-    replaces the plain group-by where there is more than one: the frames it returns
-    are spread and then joined on the key. ``prepare`` sees the rows of a key before
-    they are copied per window.
+    needs are not computed. Keys outside every wanted window have no row.
+
+    Aggregates built by :mod:`loomline.operators.rollup` come from panes, over the rows as
+    ``features`` makes them; those named in ``tagged``, and any other expression, from tagged
+    rows. There ``rollup`` replaces the plain group-by where there is more than one: the
+    frames it returns are spread and then joined on the key; ``prepare`` sees the rows of a
+    key before they are copied per window.
     """
     exprs = wanted_exprs(windows, exprs, columns)
     windows = wanted_windows(windows, exprs, columns)
     known = known_keys(df, [key])
     if not windows:
         return known.select(key).distinct()
+    paned = {n: e for n, e in exprs.items() if isinstance(e, Agg) and n not in tagged}
+    rest = {n: e for n, e in exprs.items() if n not in paned}
+    suffixes = [suffix for suffix, _ in nested(windows)]
 
     def fold(rows: DataFrame, gathered: bool) -> DataFrame:
-        tagged = tag_windows(prepare(rows, windows, gathered), offset, windows)
-        parts = [spread_windows(part, key, windows) for part in rollup(tagged, [key, TAG], exprs)]
+        parts = []
+        if paned or not rest:
+            placed = features(rows).withColumn(PANE, depth(offset, windows))
+            parts.append(pane_rollup(placed, key, suffixes, paned))
+        if rest:
+            copies = tag_windows(prepare(rows, windows, gathered), offset, windows)
+            parts += [spread_windows(part, key, windows) for part in rollup(copies, [key, TAG], rest)]
         return reduce(lambda a, b: a.join(b, key, "left"), parts)
 
     out = together(known, key, fold)

@@ -19,22 +19,36 @@ from loomline.operators.placement import together
 Spec = Mapping[str, Sequence[str]]
 Exprs = dict[str, str | Column]
 
-ROWS = "count(1)"
 
+class Agg(str):
+    """SQL text of an aggregate that also names its parts, so that it can be formed from mergeable states."""
 
-def aggregate(column: str, how: str, where: str | None = None) -> str:
+    how: str
+    value: str
+    where: str | None
+
+    def __new__(cls, sql: str, how: str, value: str = "", where: str | None = None) -> Agg:
+        self = super().__new__(cls, sql)
+        self.how, self.value, self.where = how, value, where
+        return self
+
+    def __getnewargs__(self) -> tuple:
+        return str(self), self.how, self.value, self.where
+
+
+ROWS = Agg("count(1)", "size")
+
+
+def aggregate(column: str, how: str, where: str | None = None) -> Agg:
     """One aggregate of one column, optionally over the rows where a condition holds.
 
     Sums of nothing but NULL are 0, as long as the group has any row.
     """
     value = quote(column) if where is None else f"CASE WHEN {where} THEN {quote(column)} END"
     rows = ROWS if where is None else f"count_if({where})"
-    if how in ("min", "max"):
-        return f"{how}({value})"
-    if how == "mean":
-        return f"avg({value})"
-    if how == "var":
-        return f"var_samp({value})"
+    free = {"min": "min", "max": "max", "mean": "avg", "var": "var_samp"}
+    if how in free:
+        return Agg(f"{free[how]}({value})", how, value)
     counted = {
         "count": f"count({value})",
         "nunique": f"count(DISTINCT {value})",
@@ -43,7 +57,7 @@ def aggregate(column: str, how: str, where: str | None = None) -> str:
     }
     if how not in counted:
         raise ValueError(f"unknown aggregate {how!r}")
-    return counted[how] if where is None else f"CASE WHEN {rows} > 0 THEN {counted[how]} END"
+    return Agg(counted[how] if where is None else f"CASE WHEN {rows} > 0 THEN {counted[how]} END", how, value, where)
 
 
 def spec_exprs(spec: Spec, prefix: str = "", upper: bool = True, where: str | None = None) -> Exprs:
@@ -66,11 +80,11 @@ def share_exprs(
     for name, hit in flag_conditions(vocabulary, null_flag).items():
         flag = f"CASE WHEN {hit} THEN 1 ELSE 0 END"
         build = {
-            "mean": f"count_if({hit}) / {ROWS}",
-            "max": f"max({flag})",
-            "min": f"min({flag})",
-            "sum": f"count_if({hit})",
-            "var": f"var_samp({flag})",
+            "mean": Agg(f"count_if({hit}) / {ROWS}", "ratio", hit),
+            "max": Agg(f"max({flag})", "max", flag),
+            "min": Agg(f"min({flag})", "min", flag),
+            "sum": Agg(f"count_if({hit})", "hits", hit),
+            "var": Agg(f"var_samp({flag})", "var", flag),
             "size": ROWS,
         }
         for how in hows:

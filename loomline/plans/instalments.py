@@ -31,6 +31,10 @@ INSTALMENT_SPEC = {
 }
 
 
+# What depends on the part payments inside a window.
+BY_WINDOW = [f"INS_PAYMENT_DIFFERENCE_{how.upper()}" for how in INSTALMENT_SPEC["PAYMENT_DIFFERENCE"]]
+
+
 def fill_unpaid(df: DataFrame) -> DataFrame:
     """A payment that never came counts as nothing, paid on the application day."""
     return clean.fill(df, {"DAYS_ENTRY_PAYMENT": 0, "AMT_PAYMENT": 0})
@@ -109,4 +113,5 @@ def instalment_lookback(
     df = fill_unpaid(df)
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
     exprs = instalment_exprs(vocabulary)
-    return lookback(df, ID, OFFSET, windows, exprs, columns, rollup=_rollup, prepare=_paid_by_window)
+    alone = lambda rows: _payment_columns(rows.withColumn("AMT_PAYMENT_GROUPED", F.lit(None).cast("double")))
+    return lookback(df, ID, OFFSET, windows, exprs, columns, rollup=_rollup, prepare=_paid_by_window, tagged=BY_WINDOW, features=alone)
