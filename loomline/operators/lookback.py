@@ -85,9 +85,8 @@ def lookback(
     windows: Windows,
     exprs: Exprs,
     columns: Collection[str] | None = None,
-    rollup: Callable[[DataFrame, list[str], Exprs], list[DataFrame]] = lambda rows, keys, exprs: [roll(rows, keys, exprs)],
-    prepare: Callable[[DataFrame, Windows, bool], DataFrame] = lambda rows, windows, gathered: rows,
-    tagged: Collection[str] = (),
+    own: Callable[[DataFrame, Windows, Exprs, bool], list[DataFrame]] | None = None,
+    apart: Collection[str] = (),
     features: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Run one rollup over every window and lay the results side by side.
@@ -96,17 +95,16 @@ def lookback(
     needs are not computed. Keys outside every wanted window have no row.
 
     Aggregates built by :mod:`loomline.operators.rollup` come from panes, over the rows as
-    ``features`` makes them; those named in ``tagged``, and any other expression, from tagged
-    rows. There ``rollup`` replaces the plain group-by where there is more than one: the
-    frames it returns are spread and then joined on the key; ``prepare`` sees the rows of a
-    key before they are copied per window.
+    ``features`` makes them. Those named in ``apart``, and any other expression, come from
+    tagged rows, or from ``own(rows, windows, expressions, gathered)``: frames with one row
+    per key and a column for each expression and window, joined on the key.
     """
     exprs = wanted_exprs(windows, exprs, columns)
     windows = wanted_windows(windows, exprs, columns)
     known = known_keys(df, [key])
     if not windows:
         return known.select(key).distinct()
-    paned = {n: e for n, e in exprs.items() if isinstance(e, Agg) and n not in tagged}
+    paned = {n: e for n, e in exprs.items() if isinstance(e, Agg) and n not in apart}
     rest = {n: e for n, e in exprs.items() if n not in paned}
     suffixes = [suffix for suffix, _ in nested(windows)]
 
@@ -116,9 +114,16 @@ def lookback(
             placed = features(rows).withColumn(PANE, depth(offset, windows))
             parts.append(pane_rollup(placed, key, suffixes, paned))
         if rest:
-            copies = tag_windows(prepare(rows, windows, gathered), offset, windows)
-            parts += [spread_windows(part, key, windows) for part in rollup(copies, [key, TAG], rest)]
+            parts += own(rows, windows, rest, gathered) if own else [tagged_rollup(rows, key, offset, windows, rest)]
         return reduce(lambda a, b: a.join(b, key, "left"), parts)
 
     out = together(known, key, fold)
     return out if columns is None else out.select(key, *[c for c in out.columns if c in columns])
+
+
+def tagged_rollup(
+    rows: DataFrame, key: str, offset: str | Column, windows: Windows, exprs: Exprs,
+    rollup: Callable[[DataFrame, list[str], Exprs], DataFrame] = roll,
+) -> DataFrame:
+    """A rollup by key and window over one copy of each row per window, spread to one row per key."""
+    return spread_windows(rollup(tag_windows(rows, offset, windows), [key, TAG], exprs), key, windows)

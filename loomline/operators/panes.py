@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.encode import quote
@@ -68,27 +68,27 @@ def _final(a: Agg, states: _States) -> str:
     return f"CASE WHEN {rows} > 0 THEN {counted} END" if a.where else counted
 
 
+def _deeper(key: str) -> str:
+    """The pane and those deeper than it: at most one row per window and key."""
+    return f"(PARTITION BY {quote(key)} ORDER BY {PANE} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def _merged(partial: DataFrame, key: str, states: _States) -> DataFrame:
-    """Each pane with the panes deeper than it. At most one row per window and key reaches these windows."""
-    whole = Window.partitionBy(key)
-    deeper = whole.orderBy(F.desc(PANE)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    """Each pane with the panes deeper than it."""
     parts = sorted({name for spread in states.spreads.values() for name in spread})
-    return partial.select(
-        key, PANE,
-        *[merge[how](name).over(deeper).alias(name) for (_, how), name in states.names.items()],
-        *([F.collect_list(F.struct(*parts)).over(deeper).alias(EACH)] if parts else []),
-    )
+    each = [f"collect_list(struct({', '.join(parts)})) OVER {_deeper(key)} AS {EACH}"] if parts else []
+    # Text, as for all wide rollups: one call plans them all.
+    return partial.selectExpr(quote(key), PANE, *[f"{how}({name}) OVER {_deeper(key)} AS {name}" for (_, how), name in states.names.items()], *each)
 
 
 def _spread(long: DataFrame, key: str, values: list[str], suffixes: list[str]) -> DataFrame:
     """(key, pane, values) -> one row per key; a window takes the pane next deeper than it."""
     # At most one row per window reaches the list.
-    packed = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(PANE, F.struct(*[F.col(quote(v)) for v in values])))).alias("_panes"))
+    packed = long.groupBy(key).agg(F.expr(f"map_from_entries(collect_list(struct({PANE}, struct({', '.join(map(quote, values))})))) AS _panes"))
     n = len(suffixes)
-    slots = [F.coalesce(*[F.try_element_at("_panes", F.lit(p)) for p in range(i + 1, n + 1)]).alias(f"_w{i}") for i in range(n)]
+    slots = [f"coalesce({', '.join(f'try_element_at(_panes, {p})' for p in range(i + 1, n + 1))}) AS _w{i}" for i in range(n)]
     names = [v + suffix for suffix in suffixes for v in values]
-    return packed.select(key, *slots).select(key, *[f"_w{i}.*" for i in range(n)]).toDF(key, *names)
+    return packed.selectExpr(quote(key), *slots).select(key, *[f"_w{i}.*" for i in range(n)]).toDF(key, *names)
 
 
 def pane_rollup(rows: DataFrame, key: str, suffixes: list[str], aggs: Mapping[str, Agg]) -> DataFrame:
@@ -119,8 +119,7 @@ def pane_rollup(rows: DataFrame, key: str, suffixes: list[str], aggs: Mapping[st
 
 def _distinct(rows: DataFrame, key: str, value: str, suffixes: list[str], name: str) -> DataFrame:
     """Distinct values per window: the values whose deepest row is in it."""
-    known = rows.select(key, F.expr(value).alias("_value"), PANE).filter("_value IS NOT NULL")
+    known = rows.selectExpr(quote(key), f"{value} AS _value", PANE).filter("_value IS NOT NULL")
     deepest = known.groupBy(key, "_value").agg(F.max(PANE).alias(PANE))
     counts = deepest.groupBy(key, PANE).agg(F.count(F.lit(1)).alias(name))
-    deeper = Window.partitionBy(key).orderBy(F.desc(PANE)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _spread(counts.withColumn(name, F.sum(name).over(deeper)), key, [name], suffixes)
+    return _spread(counts.selectExpr(quote(key), PANE, f"sum({name}) OVER {_deeper(key)} AS {name}"), key, [name], suffixes)

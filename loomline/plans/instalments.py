@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import clean, encode
-from loomline.operators.lookback import DAY_WINDOWS, TAG, Windows, depth, lookback
+from loomline.operators.lookback import DAY_WINDOWS, Windows, depth, lookback, nested
 from loomline.operators.rollup import ROWS, Exprs, attach_stat, roll, roll_together, share_exprs, spec_exprs
 
 ID = "SK_ID_CURR"
@@ -98,9 +98,16 @@ def _paid_by_window(rows: DataFrame, windows: Windows, gathered: bool) -> DataFr
     return rows.withColumn("_paid", F.when(known, sums))
 
 
-def _rollup(tagged: DataFrame, keys: list[str], exprs: Exprs) -> list[DataFrame]:
-    rows = _payment_columns(tagged.withColumn("AMT_PAYMENT_GROUPED", F.get("_paid", F.col(TAG))))
-    return [roll(rows, keys, exprs)]
+def _difference_rollup(rows: DataFrame, suffixes: list[str], exprs: Exprs) -> DataFrame:
+    """PAYMENT_DIFFERENCE has another value in each window: one conditional aggregate for each, no copies of rows."""
+    out = {}
+    for i, suffix in enumerate(suffixes):
+        value = f"CASE WHEN _depth > {i} THEN AMT_INSTALMENT - _paid[{i}] END"
+        wanted = {how: f"INS_PAYMENT_DIFFERENCE_{how.upper()}" for how in INSTALMENT_SPEC["PAYMENT_DIFFERENCE"]}
+        built = {"max": f"max({value})", "min": f"min({value})", "mean": f"avg({value})"}
+        built["sum"] = f"CASE WHEN count_if(_depth > {i}) > 0 THEN coalesce(sum({value}), 0) END"
+        out |= {name + suffix: built[how] for how, name in wanted.items() if name in exprs}
+    return roll(rows.filter("_depth > 0"), ID, out)
 
 
 def instalment_lookback(
@@ -114,4 +121,9 @@ def instalment_lookback(
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
     exprs = instalment_exprs(vocabulary)
     alone = lambda rows: _payment_columns(rows.withColumn("AMT_PAYMENT_GROUPED", F.lit(None).cast("double")))
-    return lookback(df, ID, OFFSET, windows, exprs, columns, rollup=_rollup, prepare=_paid_by_window, tagged=BY_WINDOW, features=alone)
+
+    def differences(rows: DataFrame, kept: Windows, wanted: Exprs, gathered: bool) -> list[DataFrame]:
+        paid = _paid_by_window(rows, kept, gathered).withColumn("_depth", depth(OFFSET, kept))
+        return [_difference_rollup(paid, [suffix for suffix, _ in nested(kept)], wanted)]
+
+    return lookback(df, ID, OFFSET, windows, exprs, columns, own=differences, apart=BY_WINDOW, features=alone)

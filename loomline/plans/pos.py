@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import expr as X
 from loomline.operators import encode
-from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback
+from loomline.operators.lookback import MONTH_WINDOWS, Windows, lookback, tagged_rollup
 from loomline.operators.rollup import Exprs, aggregate, first_last_exprs, roll, share_exprs, spec_exprs
 
 ID, LOAN, MONTH = "SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE"
@@ -59,19 +59,18 @@ def pos_exprs(vocabulary: encode.Vocabulary) -> Exprs:
     return spec_exprs(POS_SPEC, "POS_") | share_exprs(vocabulary, "POS_") | {c: "" for c in LOAN_OUTPUTS}
 
 
-def _rollup(df: DataFrame, keys: list[str], exprs: Exprs) -> list[DataFrame]:
-    """Monthly rows and loans are two rollups on the same keys."""
-    of_rows = {n: e for n, e in exprs.items() if n not in LOAN_OUTPUTS}
-    of_loans = {n: aggregate(n, "sum") for n in exprs if n in LOAN_OUTPUTS}
-    parts = [roll(df, keys, of_rows)] if of_rows else []
-    if of_loans:
-        parts.append(roll(loan_completion(df, keys), keys, of_loans))
-    return parts
+def _by_loan(df: DataFrame, keys: list[str], exprs: Exprs) -> DataFrame:
+    return roll(loan_completion(df, keys), keys, {n: aggregate(n, "sum") for n in exprs})
+
+
+def _loans(rows: DataFrame, windows: Windows, exprs: Exprs, gathered: bool) -> list[DataFrame]:
+    """Loans are a rollup of their own below the applicant's, so their rows are tagged by window."""
+    return [tagged_rollup(rows, ID, MONTH, windows, exprs, _by_loan)]
 
 
 def pos_rollup(df: DataFrame, vocabulary: encode.Vocabulary | None = None) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return lookback(pos_features(df), ID, MONTH, {"": None}, pos_exprs(vocabulary), rollup=_rollup)
+    return lookback(pos_features(df), ID, MONTH, {"": None}, pos_exprs(vocabulary), own=_loans)
 
 
 def pos_lookback(
@@ -81,4 +80,4 @@ def pos_lookback(
     columns: Collection[str] | None = None,
 ) -> DataFrame:
     vocabulary = encode.fit_vocabulary(df) if vocabulary is None else vocabulary
-    return lookback(pos_features(df), ID, MONTH, windows, pos_exprs(vocabulary), columns, rollup=_rollup)
+    return lookback(pos_features(df), ID, MONTH, windows, pos_exprs(vocabulary), columns, own=_loans)
