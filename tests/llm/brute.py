@@ -47,8 +47,8 @@ def shingles(text, n=3):
     return {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def jaccard(rows, percent=90):
-    sets = [(i, shingles(t)) for i, t in rows]
+def jaccard(rows, percent=90, n=3):
+    sets = [(i, shingles(t, n)) for i, t in rows]
     label = list(range(len(rows)))
 
     def root(k):

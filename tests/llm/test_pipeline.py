@@ -28,7 +28,7 @@ def test_stages(spark):
     one, got = step(0, docs)
     assert set(got) == {i for i, r in rows.items() if any(c.isalpha() for c in r.text or "")}
     two, kept = step(1, one)
-    assert set(kept) == {i for i, _, c in brute.jaccard([(i, r.text) for i, r in got.items()]) if i == c}
+    assert set(kept) == {i for i, _, c in brute.jaccard([(i, r.text) for i, r in got.items()], 80, 5) if i == c}
     three, clean = step(2, two)
     assert set(clean) == {i for i, r in kept.items() if not brute.hits(r.text, items)[-1]}
     four, safe = step(3, three)
@@ -66,6 +66,14 @@ def test_one_row_of_a_component_stays(spark, docs):
     assert got == sorted(want, key=repr)
 
 
+def test_near_copies_share_four_fifths_of_five_words(spark, docs):
+    base = [f"w{k}" for k in range(60)]
+    more = base + [f"x{k}" for k in range(12)]  # 56 of 68 shingles
+    other = base + [f"y{k}" for k in range(20)]  # 56 of 76
+    got = {r.doc_id for r in pipeline.near_copy_stage(spark, docs((4, " ".join(base)), (5, " ".join(more)), (6, " ".join(other))), FOLDER).collect()}
+    assert got == {4, 6}
+
+
 def test_language_stage_rejects_what_fits_no_language(spark):
     given = table(spark, FOLDER, "documents").select(*pipeline.COLUMNS)
     rows = {r.doc_id for r in given.collect() if any(c.isalpha() for c in r.text or "")}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import pytest
@@ -40,6 +41,40 @@ def test_owners_part_examples_from_live_values(docs):
     assert safe[20] == "<secret>" and safe[21] == "here <secret> stands bare" and safe[0] == "password=copied0abc1"
 
 
+def test_a_text_of_very_many_spans(docs):
+    rng = random.Random(4)
+    tokens = [f"{rng.getrandbits(128):032x}" for _ in range(30_000)]
+    text = " ünd ".join(tokens)
+    start = time.time()
+    clean, found = secrets.scan(docs((1, text, None, "one", 0), (2, f"{tokens[7]} again, {tokens[9]}.", None, "two", 0)))
+    got = {r.doc_id: r for r in secrets.digest(clean, found).collect()}
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[1].base_sha256) == brute.secrets(text) and got[1].n_hex == 30_000
+    live = [t for t in tokens if any(c in "abcdef" for c in t) and any(c.isdigit() for c in t)]
+    safe = {r.doc_id: r.s for r in found.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("s")).collect()}
+    assert len(live) == 30_000 and safe[1] == " ünd ".join(["<secret>"] * 30_000) and safe[2] == "<secret> again, <secret>."
+    assert time.time() - start < 120
+
+
+def test_short_and_dotted_values_stand_bare(docs):
+    rows = [
+        (1, "password=ab12cd and token: eyJ0.a1b2.c3.", None, "one", 0), (2, "see ab12cd, or eyJ0.a1b2.c3. Then ab12cde", None, "one", 0),
+        (3, "ab12cd.", None, "one", 0), (4, "password=ab12cd.", None, "one", 0), (5, "ünd ab12cd ünd", None, "two", 0),
+    ]
+    clean, found = secrets.scan(docs(*rows))
+    got = {r.doc_id: r.spans for r in secrets.digest(clean, found).collect()}
+    assert got[2] == "bare:4:10,bare:15:27" and got[3] == "bare:0:6" and got[4] == "assign:0:16" and got[5] == "bare:4:10"
+    safe = {r.doc_id: r.s for r in found.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("s")).collect()}
+    assert safe[2] == "see <secret>, or <secret>. Then ab12cde" and safe[5] == "ünd <secret> ünd"
+
+
+def test_columns_of_any_name_are_kept(docs):
+    names = ["_spans", "_row", "row", "_m0", "owner", "repo", "kept", "matches", "rank", "hash"]
+    frame = docs((1, "token=abc123x"), (2, "nothing")).withColumns({n: F.lit(n) for n in names}).withColumn("spans", F.lit("old"))
+    clean, found = secrets.scan(frame)
+    (one,), (two,) = found.collect(), clean.collect()
+    assert all(one[n] == n and two[n] == n for n in names) and one.spans[0].kind == "assign" and "spans" not in two.asDict()
+
+
 def test_no_rows(docs, spark):
     none = docs((1, "x")).filter("false")
     assert secrets.digest(*secrets.scan(none)).count() == 0
