@@ -476,24 +476,25 @@ def margins(model: Booster, df: DataFrame, alias: str = "margin") -> DataFrame:
     """``df`` with the sum of the trees' values, in one narrow pass."""
     shared = df.sparkSession.sparkContext.broadcast(model.trees)
     used = sorted({n.feature for t in model.trees for n in t if n.feature >= 0})
-    names = {f: f"_x{f}_{alias}" for f in used}
+    kept = [c for c in df.columns if c != alias]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {f: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for f, c in names.items()}
+            x = {f: batch.column(len(kept) + i).to_numpy(zero_copy_only=False).astype(np.float64) for i, f in enumerate(used)}
             gone = {f: np.isnan(v) for f, v in x.items()}
             total = np.zeros(batch.num_rows)
             for tree in shared.value:
                 total += _values(tree, leaves_of(tree, x.__getitem__, gone.__getitem__, False, batch.num_rows))
-            kept = [c for c in batch.schema.names if c not in names.values() and c != alias]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(total)], names=[*kept, alias])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(total)], names=[*kept, alias])
 
-    wide = df.withColumns({c: _number(model.columns[f]) for f, c in names.items()}) if names else df
+    # Columns travel by place: their names may be any.
+    columns = [*[F.col(f"`{c}`") for c in kept], *[_number(model.columns[f]) for f in used]]
+    placed = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != alias]
-    return wide.mapInArrow(run, ", ".join([*fields, f"`{alias}` double"]))
+    return placed.mapInArrow(run, ", ".join([*fields, f"`{alias}` double"]))
 
 
 def score(model: Booster, df: DataFrame, alias: str = "score") -> DataFrame:
     """``df`` with the probability of label 1."""
     found = margins(model, df, alias)
-    return found.withColumn(alias, 1 / (1 + F.exp(-F.col(alias))))
+    return found.withColumn(alias, 1 / (1 + F.exp(-F.col(f"`{alias}`"))))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +72,49 @@ def one_hot(
     kept = [quote(c) for c in df.columns if c not in vocabulary]
     coded = [f"CASE WHEN {cond} THEN 1 ELSE 0 END AS {quote(name)}" for name, cond in flags.items()]
     return df.selectExpr(*kept, *coded), list(flags)
+
+
+# ---------------------------------------------------------------- sparse flags
+
+NULL_FLAG = "nan"
+
+
+def fit_sparse(df: DataFrame, columns: Sequence[str], output: str = "flags") -> PipelineModel:
+    """Flags of category columns as one sparse vector column, however many values they have.
+
+    The flags of a column are in the order of its values, then one for NULL and values not seen here. A row
+    stores only the flags it has, and the model only the values: nothing is as wide as the vocabulary.
+    """
+    index, flags = [f"_{output}_index{i}" for i in range(len(columns))], [f"_{output}_flags{i}" for i in range(len(columns))]
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCols=list(columns), outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OneHotEncoder(inputCols=index, outputCols=flags, dropLast=False),
+            VectorAssembler(inputCols=flags, outputCol=output),
+        ]
+    ).fit(df.select(*[F.col(quote(c)).cast("string").alias(c) for c in columns]))
+
+
+def sparse_one_hot(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the vector column; its other columns stay as they are."""
+    indexer, output = model.stages[0], model.stages[2].getOutputCol()
+    typed = {c: df.schema[c].dataType for c in indexer.getInputCols()}
+    text = df.withColumns({c: F.col(quote(c)).cast("string") for c in typed})
+    kept = [F.col(quote(c)).cast(typed[c]).alias(c) if c in typed else F.col(quote(c)) for c in df.columns if c != output]
+    return model.transform(text).select(*kept, output)
+
+
+def sparse_names(model: PipelineModel) -> list[tuple[str, str]]:
+    """(column, value) of every flag, in order."""
+    indexer = model.stages[0]
+    return [(c, v) for c, values in zip(indexer.getInputCols(), indexer.labelsArray) for v in [*values, NULL_FLAG]]
+
+
+def sparse_shares(model: PipelineModel, df: DataFrame, by: str) -> DataFrame:
+    """(by, column_name, value, share): how often each flag is set in each group; one vector aggregate."""
+    output = model.stages[2].getOutputCol()
+    means = sparse_one_hot(model, df).groupBy(by).agg(Summarizer.mean(F.col(output)).alias("m"))
+    names = sparse_names(model)
+    places = df.sparkSession.createDataFrame([(i, c, v) for i, (c, v) in enumerate(names)], "place int, column_name string, value string")
+    long = means.select(by, F.posexplode(vector_to_array("m")).alias("place", "share"))
+    return long.join(places, "place").select(by, "column_name", "value", "share")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +27,7 @@ from loomline.functions.expr import nan_to_num
 from loomline.operators import boost
 from loomline.operators.evaluate import auc
 from loomline.operators.rollup import known_keys
+from loomline.sources.tables import written
 
 ESTIMATORS = {
     "logistic": LogisticRegression,
@@ -123,9 +126,14 @@ def positive_weight(df: DataFrame, label: str, weight: float, alias: str = "weig
 # ---------------------------------------------------------------- selection and scaling
 
 
+def feature(df: DataFrame, column: str) -> Column:
+    """A number with NULL as 0, or a vector as it is."""
+    return F.col(column) if isinstance(df.schema[column].dataType, VectorUDT) else nan_to_num(column)
+
+
 def assemble(df: DataFrame, columns: Sequence[str], alias: str = "features") -> DataFrame:
-    """Columns (NULLs as 0) to one vector column."""
-    clean = df.withColumns({c: nan_to_num(c) for c in columns})
+    """Columns (NULLs as 0), sparse flags among them, to one vector column."""
+    clean = df.withColumns({c: feature(df, c) for c in columns})
     return VectorAssembler(inputCols=list(columns), outputCol=alias).transform(clean)
 
 
@@ -211,7 +219,7 @@ def fit(
     if kind == NEWTON:
         return boost.fit(df, columns, label, weight, held=held, **{k: v for k, v in params.items() if k != "validationIndicatorCol"})
     clean = df.filter(F.col(label).isNotNull()).select(
-        *[nan_to_num(c).alias(c) for c in columns],
+        *[feature(df, c).alias(c) for c in columns],
         F.col(label).cast("double").alias(label),
         *([weight] if weight else []),
         *([held] if held else []),
@@ -233,7 +241,7 @@ def score(model: Model, df: DataFrame, alias: str = "score") -> DataFrame:
     columns = model.stages[0].getInputCols()
     output = "probability" if model.stages[1].hasParam("probabilityCol") else "rawPrediction"
     # The inputs are cleaned under other names, so the caller's columns stay as they were.
-    inputs = {f"_in{i}": nan_to_num(c) for i, c in enumerate(columns)}
+    inputs = {f"_in{i}": feature(df, c) for i, c in enumerate(columns)}
     staged = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df.withColumns(inputs))
     scored = model.stages[1].transform(staged)
     return scored.select(*df.columns, vector_to_array(output)[1].alias(alias))
@@ -241,25 +249,96 @@ def score(model: Model, df: DataFrame, alias: str = "score") -> DataFrame:
 
 @dataclass
 class Calibrated:
-    """A classifier with a one-feature logistic map from its margin to a probability."""
+    """Classifiers of several folds, each with the sigmoid 1 / (1 + exp(a margin + b)) of its held-out margins; scores are averaged."""
 
-    model: PipelineModel
-    sigmoid: PipelineModel
+    models: list[Model]
+    sigmoids: list[tuple[float, float]]
 
     def score(self, df: DataFrame, alias: str = "score") -> DataFrame:
-        margin = margins(self.model, df, "_margin")
-        return score(self.sigmoid, margin, alias).drop("_margin")
+        """One narrow pass for all folds."""
+        kept, total = df.columns, F.lit(0.0)
+        for i, (model, (a, b)) in enumerate(zip(self.models, self.sigmoids)):
+            df = margins(model, df, f"_margin{i}")
+            total = total + sigmoid(F.col(f"_margin{i}"), a, b)
+        return df.select(*kept, (total / F.lit(float(len(self.models)))).alias(alias))
+
+
+def sigmoid(margin: Column, a: float | Column, b: float | Column) -> Column:
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+    return 1 / (1 + F.exp(a * margin + b))
 
 
 def margins(model: Model, df: DataFrame, alias: str) -> DataFrame:
     if isinstance(model, boost.Booster):
         return boost.margins(model, df, alias)
     columns = model.stages[0].getInputCols()
-    inputs = {f"_in{i}": nan_to_num(c) for i, c in enumerate(columns)}
+    inputs = {f"_in{i}": feature(df, c) for i, c in enumerate(columns)}
     staged = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df.withColumns(inputs))
     return model.stages[1].transform(staged).select(*df.columns, vector_to_array("rawPrediction")[1].alias(alias))
 
 
+#: Newton steps of a sigmoid, and the change of its parameters below which they end.
+SIGMOID_STEPS, SIGMOID_CHANGE = 50, 1e-10
+
+
+def platt(df: DataFrame, margin: str, label: str, by: str) -> dict[object, tuple[float, float]]:
+    """For each value of ``by`` the (a, b) of 1 / (1 + exp(a margin + b)) that fits the labels best.
+
+    Labels are smoothed to (positives + 1) / (positives + 2) and 1 / (negatives + 2). All groups take their Newton
+    steps together: a step is one aggregate of five sums per group and, where the loss would rise, half as long.
+    ``by`` has at most ``MAX_CLASSES`` values; rows without a label or margin are left out. Of a group with one
+    label only, or one margin only, ``a`` is 0 and ``b`` its smoothed share.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(margin).isNotNull() & F.col(by).isNotNull())
+    known = written(known.select(F.col(by).alias("g"), F.col(margin).cast("double").alias("m"), (F.col(label) == 1).cast("int").alias("y")))
+    sizes = {
+        r.g: r for r in at_most(known.groupBy("g").agg(
+            F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("spread")
+        ))
+    }
+    # Margins are centred and scaled for the steps, so that the two parameters do not hang together.
+    scale = {g: (r["mean"], r["spread"] or 1.0) for g, r in sizes.items()}
+    high, low = ({g: F.lit(v) for g, v in values.items()} for values in (
+        {g: (r.p + 1.0) / (r.p + 2.0) for g, r in sizes.items()}, {g: 1.0 / (r.n + 2.0) for g, r in sizes.items()}
+    ))
+    share = {g: (r.p * (r.p + 1.0) / (r.p + 2.0) + r.n / (r.n + 2.0)) / (r.p + r.n) for g, r in sizes.items()}
+    t = F.when(F.col("y") == 1, by_class("g", high, "double")).otherwise(by_class("g", low, "double"))
+    x = (F.col("m") - by_class("g", {g: F.lit(c) for g, (c, _) in scale.items()}, "double")) / by_class("g", {g: F.lit(s) for g, (_, s) in scale.items()}, "double")
+    rows = known.select("g", x.alias("x"), t.alias("t"))
+    # z = u x + v is the log odds.
+    at = {g: (0.0, math.log(s / (1 - s))) for g, s in share.items()}
+    open_groups = [g for g, r in sizes.items() if r.p and r.n and r["spread"]]
+    before, step = {}, dict.fromkeys(open_groups, (0.0, 0.0))
+    for _ in range(SIGMOID_STEPS):
+        if not open_groups:
+            break
+        u, v = (by_class("g", {g: F.lit(at[g][k]) for g in open_groups}, "double") for k in (0, 1))
+        z = u * F.col("x") + v
+        p = 1 / (1 + F.exp(-z))
+        sums = rows.filter(F.col("g").isin(open_groups)).select("g", "x", "t", z.alias("z"), p.alias("p")).groupBy("g").agg(
+            F.sum(F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("t") * F.col("z")).alias("loss"),
+            F.sum((F.col("p") - F.col("t")) * F.col("x")).alias("gx"), F.sum(F.col("p") - F.col("t")).alias("g1"),
+            *[F.sum(F.col("p") * (1 - F.col("p")) * w).alias(n) for n, w in (("hxx", F.col("x") * F.col("x")), ("hx", F.col("x")), ("h1", F.lit(1.0)))],
+        )
+        left = []
+        for r in sums.collect():
+            g = r["g"]
+            if g in before and r["loss"] > before[g] + 1e-9 * abs(before[g]):
+                step[g] = (step[g][0] / 2, step[g][1] / 2)
+                at[g] = (at[g][0] + step[g][0], at[g][1] + step[g][1])
+            else:
+                before[g], det = r["loss"], r["hxx"] * r["h1"] - r["hx"] ** 2
+                if det <= 0:
+                    continue
+                move = ((r["h1"] * r["gx"] - r["hx"] * r["g1"]) / det, (r["hxx"] * r["g1"] - r["hx"] * r["gx"]) / det)
+                step[g] = move
+                at[g] = (at[g][0] - move[0], at[g][1] - move[1])
+            if max(map(abs, step[g])) > SIGMOID_CHANGE:
+                left.append(g)
+        open_groups = left
+    return {g: (-u / scale[g][1], u * scale[g][0] / scale[g][1] - v) for g, (u, v) in at.items()}
+
+
 def calibrate(
     kind: str,
     df: DataFrame,
@@ -271,15 +350,16 @@ def calibrate(
     seed: int = 0,
     **params: object,
 ) -> Calibrated:
-    """Sigmoid calibration on out-of-fold margins, then a refit on everything."""
-    folded = assign_folds(df.filter(F.col(label).isNotNull()), id_col, folds, seed)
-    held_out = None
+    """Sigmoid calibration: each fold's model learns from the other folds, its sigmoid from the fold left out."""
+    folded = written(assign_folds(df.filter(F.col(label).isNotNull()), id_col, folds, seed))
+    models, held_out = [], None
     for i in range(folds):
-        model = fit(kind, folded.filter(F.col("fold") != i), columns, label, weight, **params)
-        part = margins(model, folded.filter(F.col("fold") == i), "_margin").select(label, "_margin")
+        models.append(fit(kind, folded.filter(F.col("fold") != i), columns, label, weight, **params))
+        part = margins(models[i], folded.filter(F.col("fold") == i), "_margin").select(label, "fold", "_margin")
         held_out = part if held_out is None else held_out.unionByName(part)
-    sigmoid = fit("logistic", held_out, ["_margin"], label)
-    return Calibrated(fit(kind, df, columns, label, weight, **params), sigmoid)
+    found = platt(held_out, "_margin", label, "fold")
+    used = [i for i in range(folds) if i in found]
+    return Calibrated([models[i] for i in used], [found[i] for i in used])
 
 
 def sweep(
@@ -319,11 +399,14 @@ def random_search(
     weight: str | None = None,
     seed: int = 0,
     parallelism: int = 2,
+    id_col: str | None = None,
     **params: object,
 ) -> tuple[PipelineModel, DataFrame]:
     """Cross-validated AUC at random parameter draws: (best model, table of draws).
 
-    Whole-number bounds draw whole numbers (upper bound excluded).
+    Whole-number bounds draw whole numbers (upper bound excluded). With ``id_col`` the folds
+    are those of :func:`assign_folds`, the same for every draw, run and partitioning; the
+    cleaned columns are written once and shared by all fits.
     """
     rng = random.Random(seed)
     stages = _stages(kind, columns, label, weight, **params)
@@ -334,10 +417,15 @@ def random_search(
 
     picks = [{name: draw(*bounds) for name, bounds in space.items()} for _ in range(draws)]
     maps = [{estimator.getParam(name): v for name, v in pick.items()} for pick in picks]
-    clean = df.filter(F.col(label).isNotNull()).select(
+    known = df.filter(F.col(label).isNotNull())
+    fixed = {}
+    if id_col:
+        known, fixed = assign_folds(known, id_col, folds, seed), {"foldCol": "fold"}
+    clean = known.select(
         *[nan_to_num(c).alias(c) for c in columns],
         F.col(label).cast("double").alias(label),
         *([weight] if weight else []),
+        *fixed.values(),
     )
     search = CrossValidator(
         estimator=stages,
@@ -346,7 +434,8 @@ def random_search(
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,
-    ).fit(clean)
+        **fixed,
+    ).fit(written(clean))
     rows = [(i, *map(float, pick.values()), float(m)) for i, (pick, m) in enumerate(zip(picks, search.avgMetrics))]
     schema = "draw int, " + ", ".join(f"`{name}` double" for name in space) + ", auc double"
     return search.bestModel, df.sparkSession.createDataFrame(rows, schema)

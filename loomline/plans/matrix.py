@@ -16,7 +16,7 @@ from loomline.plans.cards import card_lookback
 from loomline.plans.instalments import instalment_lookback
 from loomline.plans.pos import pos_lookback
 from loomline.plans.previous import clean_previous, previous_lookback
-from loomline.sources.tables import materialise
+from loomline.sources.tables import bucketed, materialise
 
 Tables = Mapping[str, DataFrame]
 Columns = Collection[str] | None
@@ -30,17 +30,20 @@ ROLLUPS: dict[str, Callable[[Tables, Columns], DataFrame]] = {
 }
 
 
-def rollups(tables: Tables, folder: str | None = None, columns: Columns = None) -> dict[str, DataFrame]:
+def rollups(tables: Tables, folder: str | None = None, columns: Columns = None, buckets: int | None = None) -> dict[str, DataFrame]:
     """Every child table rolled up once, for train and test applicants alike.
 
     With ``folder`` each rollup is written as parquet and read back, so that the wide
     join starts from files and a lost executor does not restart the rollups. With
-    ``columns`` only those outputs are computed.
+    ``columns`` only those outputs are computed. With ``buckets`` they are written bucketed
+    and sorted by applicant, so that joining them moves nothing.
     """
     out = {}
     for name, build in ROLLUPS.items():
         out[name] = build(tables, columns)
-        if folder:
+        if buckets:
+            out[name] = bucketed(out[name], ID, buckets, folder and os.path.join(folder, name))
+        elif folder:
             out[name] = materialise(out[name], os.path.join(folder, name))
     return out
 
@@ -56,13 +59,18 @@ def applicants(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def feature_matrix(tables: Tables, folder: str | None = None, columns: Columns = None) -> DataFrame:
+def feature_matrix(tables: Tables, folder: str | None = None, columns: Columns = None, buckets: int | None = None) -> DataFrame:
     """Applicants with all features, or with the selected ``columns`` only.
 
+    With ``buckets`` applicants and rollups are written in that many sorted files each, and the
+    join of all of them is one pass over the files, without a shuffle or a sort.
+
     ``tables`` holds 'application' (and optionally 'application_test') and the child tables.
     """
     out = applicants(tables["application"], tables.get("application_test"))
-    for rollup in rollups(tables, folder, columns).values():
+    if buckets:
+        out = bucketed(out, ID, buckets, folder and os.path.join(folder, "applicants"))
+    for rollup in rollups(tables, folder, columns, buckets).values():
         if rollup.columns != [ID]:
             out = join_suffix(out, rollup, ID, rsuffix="_y")
     out = drop_repeated_columns(out)

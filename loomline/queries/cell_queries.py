@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomline.operators import encode
 from loomline.operators import learn as L
 from loomline.plans.training import POSITIVE_WEIGHT, compare_models, prepare
 from loomline.queries.registry import query, rounded
@@ -187,3 +188,87 @@ def search_draws(spark, folder):
     _, draws = L.random_search("forest", train, ["urgent", "large"], "label", space, draws=10, folds=3, weight="weight", numTrees=5)
     within = F.col("maxDepth").isin(2.0, 3.0, 4.0) & F.col("minInfoGain").between(0.0, 1e-6)
     return draws.select("draw", within.alias("within"), (F.col("auc") > 0.5).alias("better"))
+
+
+# ------------------------------------------------------------------ search on fixed folds, calibration
+
+SEARCH_DRAWS, SEARCH_FOLDS = 4, 3
+FIXED_FOLD = f"CAST(('0x' || substr({SPLIT_HASH}, 1, 8))::BIGINT % {SEARCH_FOLDS} AS INTEGER)"
+
+
+@query(
+    "search_folds",
+    f"""
+    WITH {BASE_SQL}, rates AS (
+        SELECT {FIXED_FOLD} AS fold, CAST(sum(same * label) AS DOUBLE) / sum(label) AS tpr,
+               CAST(sum(same * (1 - label)) AS DOUBLE) / sum(1 - label) AS fpr FROM base GROUP BY 1)
+    SELECT CAST(d AS INTEGER) AS draw, (SELECT round(avg(0.5 + (tpr - fpr) / 2), 9) FROM rates) AS auc FROM range({SEARCH_DRAWS}) r(d)
+    """,
+)
+def search_folds(spark, folder):
+    """The area of every draw, averaged over folds that follow from the ids."""
+    space = {"maxDepth": (2, 5), "minInfoGain": (0.0, 1e-6)}
+    _, draws = L.random_search(
+        "forest", cells(spark, folder), ["same"], "label", space, draws=SEARCH_DRAWS, folds=SEARCH_FOLDS, id_col=KEY, numTrees=1, bootstrap=False
+    )
+    return rounded(draws.select("draw", "auc"), 9, "auc")
+
+
+# Margins of another scale and place in each group, related to the label.
+PLATT_ROWS = """SELECT c_nationkey AS g, (c_acctbal - 4000) * (1 + c_nationkey) / 3000 AS m,
+    CASE WHEN (c_custkey * 7919) % 100 < 20 + c_acctbal / 150 THEN 1 ELSE 0 END AS y FROM customer"""
+PLATT_STEPS = 12
+
+
+def _platt_sql() -> str:
+    """Newton steps from (0, log odds), unrolled, on margins scaled by the group."""
+    start = """k AS (SELECT g, sum(y) AS p, sum(1 - y) AS n, avg(m) AS c, stddev_pop(m) AS s FROM r GROUP BY g),
+        t AS (SELECT r.g, (m - c) / s AS x, CASE WHEN y = 1 THEN (p + 1.0::DOUBLE) / (p + 2) ELSE 1.0::DOUBLE / (n + 2) END AS t FROM r JOIN k USING (g)),
+        z0 AS (SELECT g, 0.0::DOUBLE AS u, ln(avg(t) / (1 - avg(t))) AS v FROM t GROUP BY g)"""
+    steps = [
+        f"""q{i} AS (SELECT g, u, v, sum((p - t) * x) AS gx, sum(p - t) AS g1, sum(p * (1 - p) * x * x) AS hxx, sum(p * (1 - p) * x) AS hx, sum(p * (1 - p)) AS h1
+        FROM (SELECT g, x, t, u, v, 1 / (1 + exp(-(u * x + v))) AS p FROM t JOIN z{i} USING (g)) GROUP BY g, u, v),
+        z{i + 1} AS (SELECT g, u - (h1 * gx - hx * g1) / (hxx * h1 - hx * hx) AS u, v - (hxx * g1 - hx * gx) / (hxx * h1 - hx * hx) AS v FROM q{i})"""
+        for i in range(PLATT_STEPS)
+    ]
+    return (
+        f"WITH r AS ({PLATT_ROWS.replace('/ 3000', '/ 3000.0::DOUBLE').replace('/ 150', '/ 150.0::DOUBLE')}), {start}, {', '.join(steps)} "
+        f"SELECT g, round(-u / s, 6) AS a, round(u * c / s - v, 6) AS b FROM z{PLATT_STEPS} JOIN k USING (g)"
+    )
+
+
+@query("platt_scaling", _platt_sql())
+def platt_scaling(spark, folder):
+    """Both parameters of the sigmoid of every group, with smoothed targets."""
+    rows = table(spark, folder, "customer").selectExpr(
+        "c_nationkey AS g", "(c_acctbal - 4000) * (1 + c_nationkey) / 3000 AS m",
+        "CASE WHEN (c_custkey * 7919) % 100 < 20 + c_acctbal / 150 THEN 1 ELSE 0 END AS y",
+    )
+    found = L.platt(rows, "m", "y", "g")
+    out = spark.createDataFrame([(int(g), float(a), float(b)) for g, (a, b) in found.items()], "g int, a double, b double")
+    return rounded(out.withColumn("g", F.col("g").cast(rows.schema["g"].dataType)), 6, "a", "b")
+
+
+# ------------------------------------------------------------------ sparse flags
+
+SPARSE_ROWS = "SELECT o_orderstatus, CAST(CASE WHEN o_custkey % 11 > 0 THEN o_custkey END AS VARCHAR) AS customer, o_orderpriority FROM orders"
+
+
+@query(
+    "sparse_shares",
+    f"""
+    WITH r AS ({SPARSE_ROWS}), f AS (
+        SELECT o_orderstatus, 'customer' AS column_name, coalesce(customer, 'nan') AS value FROM r
+        UNION ALL SELECT o_orderstatus, 'o_orderpriority', o_orderpriority FROM r),
+    n AS (SELECT o_orderstatus, count(*) AS n FROM r GROUP BY 1),
+    v AS (SELECT DISTINCT column_name, value FROM f UNION SELECT 'o_orderpriority', 'nan'),
+    c AS (SELECT o_orderstatus, column_name, value, count(*) AS c FROM f GROUP BY 1, 2, 3)
+    SELECT n.o_orderstatus, v.column_name, v.value, round(coalesce(c, 0) / CAST(n AS DOUBLE), 9) AS share
+    FROM n CROSS JOIN v LEFT JOIN c ON c.o_orderstatus = n.o_orderstatus AND c.column_name = v.column_name AND c.value = v.value
+    """,
+)
+def sparse_shares(spark, folder):
+    """Every customer is a flag of its own: one sparse vector a row, one vector aggregate a status."""
+    customer = F.when(F.col("o_custkey") % 11 > 0, F.col("o_custkey")).cast("string")
+    rows = table(spark, folder, "orders").select("o_orderstatus", customer.alias("customer"), "o_orderpriority")
+    return rounded(encode.sparse_shares(encode.fit_sparse(rows, ["customer", "o_orderpriority"]), rows, "o_orderstatus"), 9, "share")

@@ -10,7 +10,7 @@ from loomline.operators.rollup import (
 )
 from loomline.queries import sqlgen as S
 from loomline.queries.registry import query, rounded
-from loomline.sources.tables import table
+from loomline.sources.tables import bucketed, table
 
 STATUSES = {"o_orderstatus": ["F", "O", "P"]}
 
@@ -211,3 +211,19 @@ def lookback_events_days(spark, folder):
     kinds = {"event_type": ["click", "error", "purchase", "signup", "view"]}
     exprs = spec_exprs({"cents": ["max", "mean", "sum", "size"]}) | share_exprs(kinds, null_flag=False)
     return lookback(df, "user_id", "days", EVENT_WINDOWS, exprs)
+
+
+@query(
+    "bucketed_join",
+    f"SELECT c_custkey, r.* EXCLUDE (o_custkey), l.* EXCLUDE (k) FROM customer "
+    f"LEFT JOIN ({_select('o_custkey', S.spec_items(SEGMENT_SPEC, 'ALL_'), ORDERS_SQL)}) r ON c_custkey = o_custkey "
+    "LEFT JOIN (SELECT l_suppkey AS k, count(*) AS n_lines, sum(l_linenumber)::BIGINT AS numbers FROM lineitem GROUP BY 1) l ON c_custkey = k",
+)
+def bucketed_join(spark, folder):
+    """Rollups written bucketed and sorted by key, joined to the customers without a shuffle or a sort."""
+    orders = roll(_orders(spark, folder), "o_custkey", spec_exprs(SEGMENT_SPEC, "ALL_")).withColumnRenamed("o_custkey", "c_custkey")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_linenumber").alias("numbers")
+    )
+    parts = [bucketed(part, "c_custkey", 8) for part in (table(spark, folder, "customer").select("c_custkey"), orders, lines)]
+    return parts[0].join(parts[1], "c_custkey", "left").join(parts[2], "c_custkey", "left")

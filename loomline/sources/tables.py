@@ -82,6 +82,19 @@ def written(df: DataFrame) -> DataFrame:
     return materialise(df, f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, path: str | None = None, name: str | None = None) -> DataFrame:
+    """A table of ``buckets`` files, each sorted by ``key``: joins and rollups on the key then move and sort nothing.
+
+    It is written to the warehouse, or to ``path`` in a shared folder. Tables that are to be joined have equal
+    ``buckets``. One file holds a bucket, so the scan may tell its order; Spark asks for
+    ``spark.sql.legacy.bucketedTableScan.outputOrdering`` to be true for that (see :mod:`loomline.session`).
+    """
+    name = name or f"loomline_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def rows_for_key(spark: SparkSession, path: str, key: str, value: int) -> DataFrame:
     """The rows of one key: a typed literal that reaches the parquet scan as a pushed filter."""
     df = spark.read.parquet(path)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from helpers import by_key, rows
 
+from loomline.operators import encode
 from loomline.operators import evaluate as E
 from loomline.operators import learn as L
 from loomline.plans.training import POSITIVE_WEIGHT, score_applicants
@@ -189,3 +190,45 @@ def test_fitted_threshold_is_the_fold_mean(planted):
     found = L.out_of_fold("boosted", weighted, "id", FEATURES, "y", "weight", 2, **params)
     cut = E.mean_threshold(found.trained_on, "y", "score", "fold").first()["threshold"]
     assert all(r["predicted"] == (r["score_rounded"] > cut) for r in out.collect())
+
+
+def test_sigmoids_fit_each_group_best(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": np.arange(900) % 3, "m": rng.normal(size=900) * 50 + 400})
+    pdf["y"] = (rng.random(900) < 1 / (1 + np.exp(-(pdf.m - 400) / 30 * (pdf.g - 1)))).astype(int)
+    pdf.loc[len(pdf)] = [7, 1.0, 1]
+    found = L.platt(spark.createDataFrame(pdf).repartition(4), "m", "y", "g")
+    for g in (0, 1, 2):
+        part = pdf[pdf.g == g]
+        p, n = part.y.sum(), (1 - part.y).sum()
+        t = np.where(part.y == 1, (p + 1) / (p + 2), 1 / (n + 2))
+
+        def loss(a, b):
+            z = -(a * part.m + b)
+            return np.sum(np.logaddexp(0, z) - t * z)
+
+        a, b = found[g]
+        assert all(loss(a, b) <= loss(a + da, b + db) for da in (-1e-4, 0, 1e-4) for db in (-1e-3, 0, 1e-3))
+    assert found[7][0] == 0 and 1 / (1 + np.exp(found[7][1])) == pytest.approx(2 / 3)
+
+
+def test_search_on_fixed_folds_repeats(planted):
+    draws = [
+        rows(L.random_search("forest", df, FEATURES, "y", {"maxDepth": (2, 4)}, draws=2, folds=3, id_col="id", numTrees=1, bootstrap=False)[1])
+        for df in (planted, planted.repartition(3))
+    ]
+    assert draws[0] == draws[1]
+
+
+def test_fifty_thousand_categories(spark):
+    df = spark.range(100_000).selectExpr(
+        "id", "CAST(id % 50000 AS STRING) AS c", "CASE WHEN id % 10 < 9 THEN 'k' END AS k", "CAST(id % 2 AS INT) AS y", "1.0D AS x"
+    )
+    model = encode.fit_sparse(df, ["c", "k"])
+    flags = encode.sparse_one_hot(model, df)
+    one = flags.filter("id = 7").first()["flags"]
+    names = encode.sparse_names(model)
+    assert one.size == len(names) == 50_001 + 2 and [names[i] for i in one.indices] == [("c", "7"), ("k", "k")]
+    assert [names[i] for i in flags.filter("id = 9").first()["flags"].indices] == [("c", "9"), ("k", "nan")]
+    fitted = L.fit("logistic", flags, ["flags", "x"], "y", maxIter=8)
+    assert E.auc(L.score(fitted, flags), "y", "score").first()["auc"] > 0.99

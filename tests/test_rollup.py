@@ -8,6 +8,7 @@ from loomline.operators.lookback import DAY_WINDOWS, lookback
 from loomline.operators.rollup import (
     agg_spec, attach_stats, first_last, roll, segment_exprs, segment_rollup, share_exprs, spec_exprs, two_level_rollup,
 )
+from loomline.sources.tables import bucketed
 
 ROWS = [
     (1, -3, 5.0, "A"), (1, -40, 7.0, "B"), (1, -400, None, "A"), (1, None, 11.0, None),
@@ -184,3 +185,18 @@ def test_lookback_moves_rows_once(spark, frame):
         assert text.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bucketed_rollups_join_without_moving(spark, tmp_path):
+    left = spark.range(0, 400).selectExpr("id % 97 AS k", "id AS v").groupBy("k").agg(F.sum("v").alias("v"))
+    right = spark.range(0, 300).selectExpr("id % 50 AS k", "id AS w").groupBy("k").agg(F.max("w").alias("w"))
+    a, b = bucketed(left, "k", 4, str(tmp_path / "a")), bucketed(right, "k", 4, str(tmp_path / "b"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = a.join(b, "k", "left")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert rows(out, "k") == rows(left.join(right, "k", "left"), "k")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
