@@ -2,8 +2,8 @@
 
 A document's set holds its distinct word shingles; documents link when the Jaccard similarity is at
 least ``percent`` per cent. Equal sets are one class from the start. Classes that can link are brought
-together exactly: sets of nearly one size are cut by hash into more parts than they can differ in, so
-linked sets agree in a part. The smallest class of those that share a part leads it, and every class goes
+together exactly: sets of nearly one size are cut by hash into so many parts that more of them hold
+something than linked sets can differ in, so linked sets agree in a part that is not empty. The smallest class of those that share a part leads it, and every class goes
 to the groups of its leaders. In a group the T-occurrence search runs: inverted lists of the shingles,
 the longest set aside (DivideSkip), the short ones merged (by heap, or by counting where they are many),
 the candidates probed by bisection in the long ones, and those that reach the required overlap are links. A group hands back a spanning
@@ -21,6 +21,7 @@ smallest id reachable, null ids aside (a component of null ids only is null).
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -41,6 +42,8 @@ BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 17
 #: Short lists of more entries than this in all are merged by counting in place of a heap: the same result.
 HEAP_ENTRIES = 256
+#: Seeds by which a set is split until enough of its parts are not empty.
+SPLITS = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -74,32 +77,61 @@ class Sets:
         self.sign[self.size == 0] = 0
 
     def parts(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(part hash, text): sets that link share one. A set goes by its size class and the next."""
+        """(part hash, text): sets that link share one. A set goes by its size class and the next.
+
+        Linked sets of a class differ in at most so many parts; a set with more parts that are not empty shares one
+        of these with every set it links with. Sets with fewer are split once more by another seed, and only pairs
+        of such sets depend on that; those that ``SPLITS`` seeds leave (few down to 75 per cent, many far below) go by
+        their empty parts too.
+        """
         ratio = 100.0 / percent
         some = np.flatnonzero(self.size > 0)
-        if not len(some):
-            return np.zeros(0, dtype=np.uint64), some
+        if not len(some) or percent >= 100:  # only equal sets link then, and these are one class
+            return np.zeros(0, dtype=np.uint64), some[:0]
         level = np.floor(np.log(self.size[some]) / math.log(ratio) + 1e-9).astype(np.int64)
-        place = np.zeros(len(self.size), dtype=np.int64)
-        place[some] = np.arange(len(some))
-        which = place[self.owner]
-        spread = mix(self.value + _SEED)
         out, own = [], []
         for up in (0, 1):
-            largest = np.power(ratio, level + up + 1) + 1e-6
-            count = np.floor((100 - percent) / (100 + percent) * 2 * largest).astype(np.int64) + 1
-            first = np.concatenate(([0], np.cumsum(count)))
-            part = first[which] + ((spread >> np.uint64(20)) % count[which].astype(np.uint64)).astype(np.int64)
-            sums = np.zeros(int(first[-1]), dtype=np.uint64)
-            np.add.at(sums, part, mix(spread))
-            text = np.repeat(np.arange(len(some)), count)
-            index = np.arange(len(sums)) - first[text]
-            key = mix(sums + mix((level[text] + up).astype(np.uint64) * ODD + index.astype(np.uint64)))
-            out.append(key)
-            own.append(some[text])
+            kind = level + up
+            differ, count = np.array([_part_count(int(c), percent) for c in range(int(kind.max()) + 1)]).T[:, kind]
+            left = np.arange(len(some))
+            for seed in range(SPLITS + 1):
+                place = np.full(len(self.size), -1, dtype=np.int64)
+                place[some[left]] = np.arange(len(left))
+                which = place[self.owner]
+                mine = which >= 0
+                which, spread = which[mine], mix(self.value[mine] + _SEED + np.uint64(seed))
+                first = np.concatenate(([0], np.cumsum(count[left])))
+                part = first[which] + ((spread >> np.uint64(20)) % count[left][which].astype(np.uint64)).astype(np.int64)
+                sums = np.zeros(int(first[-1]), dtype=np.uint64)
+                np.add.at(sums, part, mix(spread))
+                full = np.bincount(part, minlength=len(sums)) > 0
+                text = np.repeat(np.arange(len(left)), count[left])
+                index = np.arange(len(sums)) - first[text]
+                name = (kind[left] * (SPLITS + 1) + seed).astype(np.uint64)
+                key = mix(sums + mix(name[text] * ODD + index.astype(np.uint64)))
+                sent = full if seed < SPLITS else np.ones(len(sums), dtype=bool)
+                out.append(key[sent])
+                own.append(some[left[text[sent]]])
+                left = left[np.bincount(text, weights=full, minlength=len(left)) <= differ[left]]
+                if not len(left):
+                    break
         return np.concatenate(out), np.concatenate(own)
 
 
+@functools.cache
+def _part_count(kind: int, percent: int) -> tuple[int, int]:
+    """In how many parts linked sets of a size class can differ, and the parts that leave more than these not empty."""
+    ratio = 100.0 / percent
+    differ = math.floor((100 - percent) / (100 + percent) * 2 * (ratio ** (kind + 1) + 1e-6))
+    least, parts = ratio ** (kind - 1), differ + 1
+    while parts < 4 * (differ + 2):
+        empty = parts * math.exp(-least / parts)
+        if parts - empty - 3 * math.sqrt(empty) > differ:
+            break
+        parts += 1 + parts // 50
+    return differ, parts
+
+
 def _bodies(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 

@@ -152,19 +152,47 @@ def test_occurrence_search(sets, percent):
         assert sorted(index.search(k)) == want
 
 
-@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=40), min_size=2, max_size=10))
-@settings(max_examples=40, deadline=None)
-def test_linked_sets_share_a_part(lists):
-    texts = [" ".join(w) for w in lists]
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=40), min_size=2, max_size=10), st.sampled_from([50, 60, 80, 90, 95]), st.integers(0, 4))
+@settings(max_examples=80, deadline=None)
+def test_linked_sets_share_a_part(lists, percent, splits):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(joins, "SPLITS", splits)
+        linked_sets_share_a_part([" ".join(w) for w in lists], percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_edited_texts_share_a_part(percent):
+    rng = np.random.default_rng(percent)
+    texts = []
+    for n in (3, 8, 30, 200):
+        base = [f"w{k}" for k in range(n)]
+        for edits in (0, 1, 2, n // 30, n // 12):
+            words = list(base)
+            for k in rng.choice(n, min(n, edits), replace=False):
+                words[k] = f"new{rng.integers(9)}"
+            texts.append(" ".join(words))
+    linked_sets_share_a_part(texts, percent)
+
+
+@pytest.mark.parametrize("shingle, percent", [(3, 90), (5, 80)])
+def test_unlike_texts_share_no_part(shingle, percent):
+    rng = np.random.default_rng(7)
+    for n in (12, 60, 250):
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, n)).encode() for _ in range(3000)]
+        key, _ = joins.Sets(texts, shingle).parts(percent)
+        assert np.unique(key, return_counts=True)[1].max() == 1
+
+
+def linked_sets_share_a_part(texts, percent):
     sets = joins.Sets([t.encode() for t in texts], 3)
-    key, own = sets.parts(90)
+    key, own = sets.parts(percent)
     held = [set(key[own == k].tolist()) for k in range(len(texts))]
     for a in range(len(texts)):
         x = shingles(texts[a])
         assert sets.size[a] == len(x)
         for b in range(a):
             y = shingles(texts[b])
-            if x and y and 10 * len(x & y) >= 9 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 assert held[a] & held[b]
 
 
