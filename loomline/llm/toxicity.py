@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows of a text compressed with two zstandard dictionaries.
 
-One dictionary is trained on ordinary labelled text and ends in nothing else; the other is the same trained
-content behind phrases of toxic text. Phrases are words that toxic texts use in significantly more contexts
-(pairs of neighbours, so that copies count once) than ordinary texts do; the ordinary dictionary has its own
-phrases in that place, and both places are equally long, so common matches cost the same in both. A window
+Both dictionaries end in content that zstandard trains on ordinary labelled text. Before it the toxic one has
+phrases of toxic text, the ordinary one phrases of ordinary text: words that one side uses in significantly
+more contexts (pairs of neighbours, so that copies count once) than the other. Both parts are equally long,
+so what ordinary text has in common costs the same with either. (Two dictionaries trained apart differ by
+chance in far more than these phrases: they did not tell the given tables apart.) A window
 that compresses shorter with the toxic dictionary speaks for toxicity: the margin of a text is the largest
 saving of any of its windows, in bytes. How many phrases the dictionaries get, and the logistic curve from
 margin to score, are chosen on labelled rows that the dictionaries have not seen.
