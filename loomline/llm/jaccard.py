@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles; documents link when the Jacca
 least ``percent`` per cent. Equal sets are one class from the start. Classes that can link are brought
 together exactly: sets of nearly one size are cut by hash into so many parts that more of them hold
 something than linked sets can differ in, so linked sets agree in a part that is not empty. The smallest class of those that share a part leads it, and every class goes
-to the groups of its leaders. In a group the T-occurrence search runs: inverted lists of the shingles,
+to the groups of its leaders, first as a sketch: a set that differs from all others of its group in more
+slots than linked sets differ in items goes no further. In a group the T-occurrence search runs: inverted lists of the shingles,
 the longest set aside (DivideSkip), the short ones merged (by heap, or by counting where they are many),
 the candidates probed by bisection in the long ones, and those that reach the required overlap are links. A group hands back a spanning
 forest, not all pairs. Components are found by alternating stars.
@@ -40,12 +41,15 @@ PERCENT = 90
 CELL = 4096
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 17
+#: Slots of a sketch are at most 2 to this power; words of sketches that are compared at once.
+MOST_SLOTS, COMPARED_WORDS = 14, 1 << 21
 #: Short lists of more entries than this in all are merged by counting in place of a heap: the same result.
 HEAP_ENTRIES = 256
 #: Seeds by which a set is split until enough of its parts are not empty.
 SPLITS = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEED = np.uint64(0xD6E8FEB86659FD93)
+_SLOTS = np.uint64(0xA0761D6478BD642F)
 
 
 class Sets:
@@ -208,7 +212,74 @@ def _leaders(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(found[0].astype(np.int32)), "sign": pa.array(found[1]), "leader": pa.array(found[2])})
 
 
-def _send_sets(shingle: int) -> Callable:
+def parity(values: np.ndarray) -> bytes:
+    """How many items there are, and for each of about as many slots whether it holds an odd number of them.
+
+    An item that only one of two sets has changes one slot, so sets differ in at least as many items as slots.
+    """
+    slots = 1 << min(MOST_SLOTS, max(6, (len(values) - 1).bit_length()))
+    where = (mix(values ^ _SLOTS) & np.uint64(slots - 1)).astype(np.int64)
+    odd = (np.bincount(where, minlength=slots) & 1).astype(np.uint8)
+    return len(values).to_bytes(8, "little") + np.packbits(odd).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of twice, four times, ... as many slots as sketches of ``words`` words: slots that meet are added."""
+    while bits.shape[1] > words:
+        # Slots are numbered from the highest bit, so a sketch's halves hold the slots that agree in their lower digits.
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def may_link(sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a group are near enough to another one by size and sketch; no set that links is left out."""
+    sizes = np.array([int.from_bytes(x[:8], "little") for x in sketches], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    rows = [np.frombuffer(sketches[i], dtype=np.uint64, offset=8) for i in order]
+    words = np.array([len(r) for r in rows])
+    found = np.zeros(len(rows), dtype=bool)
+    for few in np.unique(words):
+        # Sets of this many slots and larger ones that they may link with, folded to as many.
+        mine = np.flatnonzero(words == few)
+        reach = np.searchsorted(ordered, ordered[mine] * 100 // percent, side="right")
+        stop = int(reach.max())
+        all_bits = np.concatenate([_folded(rows[k][None, :], int(few)) for k in range(int(mine[0]), stop)])
+        step = max(1, COMPARED_WORDS // max(1, len(all_bits) * int(few)))
+        for a in range(0, len(mine), step):
+            left, upto = mine[a : a + step], reach[a : a + step]
+            low, high = int(left[0]), int(upto.max())
+            other = np.arange(low, high)
+            apart = np.bitwise_count(all_bits[left - mine[0]][:, None, :] ^ all_bits[None, low - mine[0] : high - mine[0], :]).sum(2, dtype=np.int64)
+            most = (100 - percent) * (ordered[left][:, None] + ordered[other][None, :]) // (100 + percent)
+            near = (apart <= most) & (other[None, :] > left[:, None]) & (other[None, :] < upto[:, None])
+            found[left] |= near.any(1)
+            found[low:high] |= near.any(0)
+    out = np.zeros(len(rows), dtype=bool)
+    out[order] = found
+    return out
+
+
+def _near(percent: int) -> Callable:
+    """(leader, cell, sign) of the sets that may link with another one of their group."""
+
+    def near(table: pa.Table) -> pa.Table:
+        groups: dict[tuple[int, int], dict[int, bytes]] = {}
+        for leader, cell, sign, items in zip(*[table.column(c).to_pylist() for c in ("leader", "cell", "sign", "items")]):
+            groups.setdefault((leader, cell), {})[sign] = items
+        out: list[tuple[int, int, int]] = []
+        for (leader, cell), group in groups.items():
+            signs = list(group)
+            for sign, keep in zip(signs, may_link(list(group.values()), percent).tolist() if len(signs) > 1 else [False]):
+                if keep:
+                    out.append((leader, cell, sign))
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.table({"leader": pa.array(columns[0], pa.int64()), "cell": pa.array(columns[1], pa.int32()), "sign": pa.array(columns[2], pa.int64())})
+
+    return near
+
+
+def _send_sets(shingle: int, body: Callable[[np.ndarray], bytes]) -> Callable:
     def send(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         goes: dict[int, list[tuple[int, int, int]]] = {}
         for row in wanted.to_pylist():
@@ -219,9 +290,10 @@ def _send_sets(shingle: int) -> Callable:
             for a, b in pieces([len(t) for t in texts], PIECE_BYTES):
                 sets = Sets(texts[a:b], shingle)
                 for j, s in enumerate(sets.sign.astype(np.int64).tolist()):
-                    for shard, leader, cell in goes.pop(s, []):
-                        body = sets.value[sets.base[j] : sets.base[j + 1]].tobytes()
-                        for name, x in zip(out, (shard, leader, cell, s, body)):
+                    places = goes.pop(s, [])
+                    made = body(sets.value[sets.base[j] : sets.base[j + 1]]) if places else b""
+                    for shard, leader, cell in places:
+                        for name, x in zip(out, (shard, leader, cell, s, made)):
                             out[name].append(x)
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds)})
@@ -355,10 +427,13 @@ def link_components(
     pairs = stash(sent.groupBy(shard).applyInArrow(_leaders, "block int, sign long, leader long").distinct())
     # A set goes from the first of its blocks only.
     first = pairs.groupBy("sign", "leader").agg(F.min("block").alias("block"))
-    cells = _cells(first, cell).withColumn("shard", F.pmod(F.xxhash64("leader", "cell"), F.lit(blocks)).cast("int"))
-    sets = parts.groupBy(block).cogroup(cells.groupBy(block)).applyInArrow(
-        _send_sets(shingle), "shard int, leader long, cell int, sign long, items binary"
-    )
+    cells = stash(_cells(first, cell).withColumn("shard", F.pmod(F.xxhash64("leader", "cell"), F.lit(blocks)).cast("int")))
+    sent_schema = "shard int, leader long, cell int, sign long, items binary"
+    # Sketches go first, a bit for each shingle: sets that they part from all of their group need not be sent.
+    sketches = parts.groupBy(block).cogroup(cells.groupBy(block)).applyInArrow(_send_sets(shingle, parity), sent_schema)
+    near = stash(sketches.groupBy(shard).applyInArrow(_near(percent), "leader long, cell int, sign long"))
+    wanted = cells.join(near, ["leader", "cell", "sign"], "left_semi")
+    sets = parts.groupBy(block).cogroup(wanted.groupBy(block)).applyInArrow(_send_sets(shingle, np.ndarray.tobytes), sent_schema)
     links = sets.groupBy(shard).applyInArrow(_link(percent), "u long, v long")
     named = components(links)
     signs = stash(lean.mapInArrow(_signs(shingle, 1), ", ".join(f"{c} long" for c in ["doc_id", *own, "n_shingles", "sign"])))

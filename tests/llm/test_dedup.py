@@ -183,6 +183,32 @@ def test_unlike_texts_share_no_part(shingle, percent):
         assert np.unique(key, return_counts=True)[1].max() == 1
 
 
+@pytest.mark.parametrize("most_slots, compared", [(14, 1 << 21), (6, 1 << 21), (14, 8)])
+def test_sketches_leave_out_no_set_that_links(monkeypatch, most_slots, compared):
+    monkeypatch.setattr(joins, "MOST_SLOTS", most_slots)
+    monkeypatch.setattr(joins, "COMPARED_WORDS", compared)
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 90):
+        sets = []
+        for n in (1, 2, 5, 63, 64, 65, 130, 700):
+            base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            sets.append(np.unique(base))
+            for cut in (1, n // 12, n // 6, n // 4):
+                sets.append(np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 63, rng.integers(0, cut + 1)).astype(np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        keep = joins.may_link([joins.parity(s) for s in sets], percent)
+        linked = np.zeros(len(sets), dtype=bool)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    linked[[a, b]] = True
+        assert not (linked & ~keep).any()
+        if most_slots > 6 and percent > 50:
+            alone = joins.may_link([joins.parity(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(40)], percent)
+            assert not alone.any()
+
+
 def linked_sets_share_a_part(texts, percent):
     sets = joins.Sets([t.encode() for t in texts], 3)
     key, own = sets.parts(percent)
