@@ -12,7 +12,8 @@ at whose ends phrases end too, in every language alike, so that all blocks of a
 together in numpy. The automata take at most about 2 * 4 * 257 bytes for each byte of the samples.
 
 Labelled text is a bounded sample, the same at every input size: per language the first
-``train_chars`` characters of labelled documents in the order of a hash. A text that is null
+``train_chars`` characters of labelled documents in the order of a hash. The bounds of ``learn_bounds`` are no sample: they
+come from every held-out labelled text. A text that is null
 or has no letter is ``und`` with score 0. Ties go to the smaller language name. Without any
 labelled text all texts are ``und``. The score is 1 - cost(best) / cost(second), or 1 if only one
 language is known. Other columns are kept; ``lang_pred``, ``score`` and ``bits_per_char`` replace
@@ -22,6 +23,7 @@ columns of these names.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -174,29 +176,57 @@ def learn(
     return {name: " ".join(texts)[:train_chars] for name, texts in found.items()}
 
 
-def learn_bounds(
-    labelled: DataFrame, training: dict[str, str], text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS
-) -> dict[str, float]:
+def learn_bounds(labelled: DataFrame, training: dict[str, str], text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
     """Language to the bits per character above which a text is in no language, from labelled texts not learned from.
 
     It is what the cheapest twentieth of these texts cost with their characters shuffled; texts of several languages
-    stay below it. A language without such texts, or where all but the worst twentieth unshuffled are not below it,
-    has no bound.
+    stay below it. All such texts of at least ``JUDGED_LETTERS`` letters count, each whole, costed in Spark tasks; the
+    quantiles are Spark's exact percentiles. A language without such texts, or where all but the worst twentieth
+    unshuffled are not below it, has no bound.
     """
-    sample = {k: [t for t in v if sum(c.isalpha() for c in t) >= JUDGED_LETTERS] for k, v in _sample(labelled, text, lang, key, BLOCK, rows).items()}
-    parser, rng, out = Parser(training), np.random.default_rng(17), {}
-    for k, name in enumerate(parser.languages):
-        cost = []
-        for mixed in (False, True):
-            texts = [t if not mixed else "".join(rng.permutation(list(t)).tolist()) for t in sample.get(name, [])]
-            found = [parser.codes(t) for t in texts]
-            chars = np.array([c for _, _, c in found])
-            cost.append(parser.phrases([codes for codes, _, _ in found])[k] * parser.costs[k] / chars if texts else np.zeros(0))
-        if len(cost[0]):
-            plain_cost, mixed_cost = float(np.quantile(cost[0], 0.95)), float(np.quantile(cost[1], 0.05))
-            if plain_cost < mixed_cost:
-                out[name] = mixed_cost
-    return out
+    parser = Parser(training)
+    if not parser.languages:
+        return {}
+    shared = labelled.sparkSession.sparkContext.broadcast(parser)
+    known = labelled.filter(F.col(lang).isin(parser.languages) & F.col(text).isNotNull())
+    rows = known.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.col(key).cast("string").alias("k"))
+    costs = rows.mapInArrow(_costs(shared), "l string, plain double, mixed double")
+    found = costs.groupBy("l").agg(F.percentile("plain", 0.95).alias("plain"), F.percentile("mixed", 0.05).alias("mixed")).collect()
+    return {r.l: float(r.mixed) for r in found if r.plain < r.mixed}
+
+
+def _costs(shared) -> Callable:
+    """Bits per character of each text of ``JUDGED_LETTERS`` letters or more in its own language, as it is and shuffled.
+
+    The shuffle of a text is seeded by its key and its text, so it is the same wherever the row is.
+    """
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = shared.value
+        index = {name: k for k, name in enumerate(parser.languages)}
+        for batch in batches:
+            langs, plains, mixeds, pending, total = [], [], [], [], 0
+            names, texts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for j, (name, t) in enumerate(zip(names, texts)):
+                found = parser.codes(t)
+                if found[1] >= JUDGED_LETTERS:
+                    seed = zlib.crc32(f"{keys[j]}\x00{t}".encode("utf-8", "surrogatepass"))
+                    mixed = "".join(np.random.default_rng([17, seed]).permutation(list(t)).tolist())
+                    pending.append((index[name], found, parser.codes(mixed)))
+                    total += len(found[0])
+                if pending and (total >= BATCH_BYTES or j == len(names) - 1):
+                    ks = np.array([k for k, _, _ in pending])
+                    for at, which in ((1, plains), (2, mixeds)):
+                        phrases = parser.phrases([p[at][0] for p in pending])[ks, np.arange(len(pending))]
+                        chars = np.array([p[at][2] for p in pending], dtype=np.float64)
+                        which.extend((phrases * np.array(parser.costs)[ks] / chars).tolist())
+                    langs.extend(parser.languages[k] for k in ks)
+                    pending, total = [], 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(plains, pa.float64()), pa.array(mixeds, pa.float64())], names=["l", "plain", "mixed"]
+            )
+
+    return cost
 
 
 def _label(shared, at: int, keep: list[int]) -> Callable:

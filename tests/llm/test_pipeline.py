@@ -3,8 +3,10 @@
 import base64
 import random
 import string
+import zlib
 
 import brute
+import numpy as np
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
@@ -85,3 +87,27 @@ def test_language_stage_rejects_what_fits_no_language(spark):
     none = given.limit(20).unionByName(more).withColumn("lang", F.lit(None).cast("string"))
     want = {r.doc_id for r in none.collect() if any(c.isalpha() for c in r.text or "")}
     assert {r.doc_id for r in pipeline.language_stage(spark, none, FOLDER).collect()} == want
+
+
+def test_bounds_come_from_every_held_out_text_whole(spark):
+    rng = random.Random(3)
+    words = {"en": ["the", "house", "water", "light", "street", "money"], "de": ["der", "wasser", "strasse", "licht", "geld", "haus"]}
+    training = {k: " ".join(rng.choices(v, k=3000)) for k, v in words.items()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randint(100, 400))), lang) for k, lang in enumerate(["en", "de"] * 100)]
+    rows += [(1000, "x" * 39, "en"), (1001, None, "en"), (1002, "the house", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser, want = language.Parser(training), {}
+    for k, name in enumerate(parser.languages):
+        plain, mixed = [], []
+        for doc_id, text, lang in rows:
+            if lang != name or text is None or parser.codes(text)[1] < language.JUDGED_LETTERS:
+                continue
+            seed = zlib.crc32(f"{doc_id}\x00{text}".encode())
+            for t, out in ((text, plain), ("".join(np.random.default_rng([17, seed]).permutation(list(text)).tolist()), mixed)):
+                codes, _, chars = parser.codes(t)
+                out.append(parser.phrases([codes])[k][0] * parser.costs[k] / chars)
+        if np.quantile(plain, 0.95) < np.quantile(mixed, 0.05):
+            want[name] = float(np.quantile(mixed, 0.05))
+    got = language.learn_bounds(labelled, training)
+    assert set(got) == set(want) == {"de", "en"}
+    assert all(abs(got[k] - want[k]) <= 1e-9 * want[k] for k in want)
