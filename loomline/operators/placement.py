@@ -23,6 +23,8 @@ HOT_ROWS = 2_000_000
 # Rows of one key a task must hold, on average, for combining in place to pay: about
 # how many times wider a rolled-up row is than the rows it came from.
 COMBINE_GAIN = 50
+# Gathered rows a task holds, about: the parts grow with the input, not a fixed count.
+TASK_ROWS = 1_000_000
 
 
 def together(
@@ -31,6 +33,7 @@ def together(
     fold: Callable[[DataFrame, bool], DataFrame],
     probe: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``fold`` the frame per ``key``; rows of different keys must not affect each other.
 
@@ -41,7 +44,8 @@ def together(
     rows and keys. If combining in place does not pay, rows are counted per key, exactly
     and map-side first, and every key over ``hot_rows`` takes the combining way; there are
     at most rows / ``hot_rows`` of them. Both counts only choose the route: the result is
-    the same whichever way a key goes.
+    the same whichever way a key goes. Gathered rows go to one part per ``task_rows`` of
+    them, at least as many as the session's shuffle partitions.
     """
     known = (df if probe is None else probe).filter(F.col(key).isNotNull())
     seen = (
@@ -55,13 +59,14 @@ def together(
     )
     if seen["n"] >= COMBINE_GAIN * seen["keys"] * seen["tasks"]:
         return fold(df, False)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // task_rows))
     if seen["n"] <= hot_rows:
-        return fold(df.repartition(key), True)
+        return fold(df.repartition(parts, key), True)
     sizes = known.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
     hot = cut_lineage(sizes.filter(F.col("_n") > hot_rows).select("_hot"))
     n_hot = hot.count()
     if not n_hot:
-        return fold(df.repartition(key), True)
+        return fold(df.repartition(parts, key), True)
     flags = F.broadcast(hot) if n_hot <= SMALL_ROWS else hot
     same = F.col(key) == F.col("_hot")
-    return fold(df.join(flags, same, "left_anti").repartition(key), True).unionByName(fold(df.join(flags, same, "left_semi"), False))
+    return fold(df.join(flags, same, "left_anti").repartition(parts, key), True).unionByName(fold(df.join(flags, same, "left_semi"), False))

@@ -175,6 +175,19 @@ def test_hot_and_sparse_keys_agree(spark):
     assert "repartition" not in together(dense, "k", fold)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_gathered_rows_per_task_stay_bounded_as_input_grows(spark):
+    """Gathering spreads rows over more tasks as they grow, not over the fixed shuffle partitions."""
+    from loomline.operators.placement import together
+
+    df = spark.range(20000, numPartitions=4).select((F.col("id") * 7919 % 20000).alias("k"), F.col("id").alias("x"))
+    per_task = lambda part, gathered: part.groupBy(F.spark_partition_id().alias("p")).agg(F.count("x").alias("n"))
+    largest = lambda out: max(r["n"] for r in out.collect())
+    assert largest(together(df, "k", per_task, task_rows=1000)) < 2000
+    assert largest(together(df, "k", per_task, hot_rows=5000, task_rows=1000)) < 2000
+    fold = lambda part, gathered=False: part.groupBy("k").agg(F.sum("x").alias("s"))
+    assert rows(together(df, "k", fold, task_rows=1000)) == rows(fold(df))
+
+
 def test_lookback_moves_rows_once(spark, frame):
     """Tagging, rolling up and spreading share the one shuffle that gathered the rows."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
