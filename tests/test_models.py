@@ -232,3 +232,12 @@ def test_fifty_thousand_categories(spark):
     assert [names[i] for i in flags.filter("id = 9").first()["flags"].indices] == [("c", "9"), ("k", "nan")]
     fitted = L.fit("logistic", flags, ["flags", "x"], "y", maxIter=8)
     assert E.auc(L.score(fitted, flags), "y", "score").first()["auc"] > 0.99
+
+
+def test_out_of_fold_scores_each_part_only(planted, monkeypatch):
+    seen, real = [], L.score
+    monkeypatch.setattr(L, "score", lambda model, df, *a: seen.append(df) or real(model, df, *a))
+    found = L.out_of_fold("newton", planted, "id", FEATURES, "y", folds=3, rounds=1, max_depth=1)
+    n = planted.count()
+    assert found.held_out.count() == n and found.trained_on.count() == 2 * n
+    assert seen and all(df.count() < n for df in seen)
