@@ -484,10 +484,14 @@ def out_of_fold(
             model = fit(kind, marked, columns, label, weight, validationIndicatorCol="_held", **params)
         else:
             model = fit(kind, folded.filter(F.col("fold") != i), columns, label, weight, **params)
-        # Each part is chosen before it is scored: a booster scores in a step that no filter passes.
         keep = [id_col, label, "fold", "score"]
-        h = score(model, folded.filter(F.col("fold") == i)).select(*keep)
-        s = score(model, folded.filter(F.col("fold") != i).withColumn("fold", F.lit(i))).select(*keep)
+        if isinstance(model, boost.Booster):
+            # A booster scores in a step that no filter passes: each part is chosen before it is scored.
+            h = score(model, folded.filter(F.col("fold") == i)).select(*keep)
+            s = score(model, folded.filter(F.col("fold") != i).withColumn("fold", F.lit(i))).select(*keep)
+        else:
+            scored = score(model, folded.withColumn("_held", F.col("fold") == i).withColumn("fold", F.lit(i)))
+            h, s = scored.filter("_held").select(*keep), scored.filter("NOT _held").select(*keep)
         held = h if held is None else held.unionByName(h)
         seen = s if seen is None else seen.unionByName(s)
         models.append(model)
