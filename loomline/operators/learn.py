@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
@@ -133,6 +133,10 @@ def feature(df: DataFrame, column: str) -> Column:
 
 def assemble(df: DataFrame, columns: Sequence[str], alias: str = "features") -> DataFrame:
     """Columns (NULLs as 0), sparse flags among them, to one vector column."""
+    if columns and not any(isinstance(df.schema[c].dataType, VectorUDT) for c in columns):
+        # One expression over an array: a thousand columns, each with its own, fill the driver and take long to compile.
+        numbers = F.transform(F.array(*[F.col(c).cast("double") for c in columns]), nan_to_num)
+        return df.withColumn(alias, array_to_vector(numbers))
     clean = df.withColumns({c: feature(df, c) for c in columns})
     return VectorAssembler(inputCols=list(columns), outputCol=alias).transform(clean)
 

@@ -63,9 +63,11 @@ def score_applicants(
     threshold is the service's constant or, fitted, the mean over folds of the best one on the
     rows that a fold's model was trained on. ``stop_early``: see :func:`out_of_fold`.
     """
-    # Every fold reads the table again, so it starts from files.
-    weighted = written(L.positive_weight(matrix.select(id_col, label, *columns), label, POSITIVE_WEIGHT))
-    result = L.out_of_fold("boosted", weighted, id_col, columns, label, "weight", folds, stop_early=stop_early, **params)
+    # Every fold reads the table again, so it starts from files; the columns are one vector there, for hundreds
+    # of them take longer to plan in each job of a fold than to read.
+    vectors = L.assemble(matrix.select(id_col, label, *columns), columns, "_inputs").select(id_col, label, "_inputs")
+    weighted = written(L.positive_weight(vectors, label, POSITIVE_WEIGHT))
+    result = L.out_of_fold("boosted", weighted, id_col, ["_inputs"], label, "weight", folds, stop_early=stop_early, **params)
     threshold = E.SERVICE_THRESHOLD
     if fitted_threshold:
         threshold = E.mean_threshold(result.trained_on, label, "score", "fold").first()["threshold"]

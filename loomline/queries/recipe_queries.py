@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from loomline.operators import learn as L
 from loomline.operators.columns import sanitise_names
 from loomline.operators.lookback import DAY_WINDOWS, MONTH_WINDOWS
@@ -17,7 +19,7 @@ from loomline.queries import sqlgen as S
 from loomline.queries.derived import cte, frame, frames
 from loomline.queries.registry import query, rounded
 from loomline.sources.schemas import DOCUMENT_FLAGS, SCHEMAS
-from loomline.sources.tables import cut_lineage
+from loomline.sources.tables import checkpoint_folder, written
 
 ID = "SK_ID_CURR"
 
@@ -488,12 +490,9 @@ def feature_matrix_full(spark, folder):
 
 @query("score_applicants")
 def score_applicants(spark, folder):
-    """From tables to decisions: features, selection by F, folds, mean score, label and message."""
-    tables = frames(spark, folder)
-    base = M.applicants(tables["application"])
-    rolled = B.bureau_rollup(tables["bureau"], tables["bureau_balance"])
-    matrix = cut_lineage(sanitise_names(base.join(rolled, ID, "left")))
-    # Income and external scores decide the made-up label outright, so they are left out.
-    features = [c for c in T.feature_columns(matrix) if c.startswith(("BUREAU_", "C_", "NAME_", "DAYS_"))]
-    top = L.selected(L.anova_topk(matrix, features, "TARGET", 20))
-    return T.score_applicants(matrix, ID, "TARGET", top, folds=3, maxDepth=3, maxIter=5, seed=42)
+    """From tables to decisions: every feature of every recipe, the best 500 by F, folds, mean score, label and message."""
+    parts = f"{checkpoint_folder(spark)}/rollups-{uuid.uuid4().hex}"
+    # The selection reads the whole matrix and the folds read what it keeps, so both start from files.
+    matrix = written(sanitise_names(M.feature_matrix(frames(spark, folder), parts)))
+    top = L.selected(L.anova_topk(matrix, T.feature_columns(matrix), "TARGET"))
+    return T.score_applicants(matrix, ID, "TARGET", top, maxDepth=3, maxIter=5, seed=42)

@@ -8,7 +8,9 @@ from helpers import by_key, rows
 from loomline.operators import encode
 from loomline.operators import evaluate as E
 from loomline.operators import learn as L
+from loomline.plans import training as T
 from loomline.plans.training import POSITIVE_WEIGHT, score_applicants
+from loomline.queries.catalogue import QUERIES
 from loomline.sources import tables as S
 
 FEATURES = ["x0", "x1", "noise"]
@@ -241,3 +243,44 @@ def test_out_of_fold_scores_each_part_only(planted, monkeypatch):
     n = planted.count()
     assert found.held_out.count() == n and found.trained_on.count() == 2 * n
     assert seen and all(df.count() < n for df in seen)
+
+
+def test_scored_applicants_are_selected_from_every_recipe(spark, tmp_path, monkeypatch):
+    tables = {
+        "customer": (60, "id AS c_custkey", "CAST(id * 167 - 900 AS DOUBLE) AS c_acctbal", "CAST(id % 25 AS INT) AS c_nationkey",
+                     "elt(1 + id % 3, 'MACHINERY', 'BUILDING', 'FURNITURE') AS c_mktsegment"),
+        "orders": (180, "id AS o_orderkey", "id % 59 AS o_custkey", "date_sub(DATE'2001-08-02', CAST(id * 5 AS INT)) AS o_orderdate",
+                   "elt(1 + id % 3, 'F', 'O', 'P') AS o_orderstatus", "elt(1 + id % 2, '1-URGENT', '2-HIGH') AS o_orderpriority",
+                   "CAST(id * 2777 AS DOUBLE) AS o_totalprice"),
+        "lineitem": (360, "id % 180 AS l_orderkey", "CAST(1 + id DIV 180 AS INT) AS l_linenumber", "0.02D AS l_tax", "id % 5 / 50.0D AS l_discount",
+                     "CAST(1 + id % 50 AS DOUBLE) AS l_quantity", "CAST(id * 91 AS DOUBLE) AS l_extendedprice",
+                     "elt(1 + id % 3, 'A', 'N', 'R') AS l_returnflag", "date_sub(DATE'2001-11-05', CAST(id AS INT)) AS l_shipdate"),
+        "events": (240, "id % 60 AS user_id", "elt(1 + id % 5, 'view', 'signup', 'purchase', 'click', 'error') AS event_type",
+                   "TIMESTAMP'2024-01-30' - make_interval(0, 0, 0, CAST(id % 40 AS INT)) AS ts", "CAST(id AS DOUBLE) / 3 AS value"),
+    }
+    for name, (n, *exprs) in tables.items():
+        spark.range(n).selectExpr(*exprs).write.parquet(str(tmp_path / f"{name}.parquet"))
+    given = []
+
+    def scored(matrix, id_col, label, columns, folds=5, **params):
+        given.append((matrix, columns, folds))
+        return matrix.select(id_col)
+
+    monkeypatch.setattr(T, "score_applicants", scored)
+    assert QUERIES["score_applicants"](spark, str(tmp_path)).count() == 60
+    matrix, columns, folds = given[0]
+    found = T.feature_columns(matrix)
+    for part in ("AMT_INCOME_TOTAL", "EXT_SOURCE_2", "BUREAU_", "PREV_", "POS_", "INS_", "CR_"):
+        assert any(c.startswith(part) for c in found), part
+    assert len(found) > 500 and folds == 5
+    # The label follows from the income here, so that column must be among the best 500 of all.
+    assert len(set(columns)) == 500 and set(columns) <= set(found) and "AMT_INCOME_TOTAL" in columns
+
+
+def test_numbers_are_assembled_as_alone(frame):
+    values = [(1, 1.5, None, 7), (2, float("nan"), 3, 8), (3, float("inf"), 4, 9), (4, float("-inf"), -2, 1), (5, None, None, None)]
+    df = frame(values, "id int, a double, b bigint, c int")
+    got = {r["id"]: [float(x) for x in r["features"]] for r in L.assemble(df, ["a", "b", "c"]).collect()}
+    want = by_key(df.select("id", *[L.nan_to_num(c).alias(c) for c in "abc"]), "id")
+    assert got == {i: [r["a"], r["b"], r["c"]] for i, r in want.items()}
+    assert got[2] == [0.0, 3.0, 8.0] and got[5] == [0.0, 0.0, 0.0] and np.isfinite(got[3]).all()
